@@ -1,0 +1,2 @@
+"""Empty on purpose: every source of this workload is a finished file, so there
+are no streaming operators."""
