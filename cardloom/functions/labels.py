@@ -64,6 +64,9 @@ def rule_applies(rule: Rule, text: Column, folded: Column, types: Column) -> Col
     return reduce(lambda a, b: a & b, tests)
 
 
+_MATCH_TYPE = "array<struct<label:string,confidence:double,source:string,reason:string>>"
+
+
 def _match(rule: Rule) -> Column:
     return F.struct(
         F.lit(rule.label).alias("label"),
@@ -88,9 +91,17 @@ def ranked_rules(rules: Sequence[Rule] = RULES) -> list[Rule]:
 def rule_hits(
     text: Column, folded: Column, types: Column, rules: Sequence[Rule] = RULES
 ) -> Column:
-    """Ranked matches of one row; empty when no rule applies."""
-    cases = [F.when(rule_applies(r, text, folded, types), _match(r)) for r in ranked_rules(rules)]
-    return F.array_compact(F.array(*cases))
+    """Ranked matches of one row; empty when no rule applies.
+
+    Concatenated from one array per rule: unlike an array filter this compiles.
+    """
+    none = F.array().cast(_MATCH_TYPE)
+    return F.concat(
+        *[
+            F.when(rule_applies(r, text, folded, types), F.array(_match(r))).otherwise(none)
+            for r in ranked_rules(rules)
+        ]
+    )
 
 
 def or_fallback(hits: Column) -> Column:

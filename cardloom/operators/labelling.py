@@ -131,7 +131,7 @@ def label_summary(labels: DataFrame, clusters: DataFrame | None = None) -> DataF
     if clusters is None:
         return one
     found = clusters.agg(F.count_distinct("cluster").alias("n")).first()["n"]
-    return one.withColumn("clusters", F.lit(found))
+    return one.withColumn("clusters", F.lit(found).cast("long"))
 
 
 def primary_label_counts(labels: DataFrame, n: int | None = 25) -> DataFrame:

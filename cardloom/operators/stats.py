@@ -9,11 +9,15 @@ from cardloom.functions.common import round_half_even
 
 
 def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
-    """Non-null values with their count, most frequent first, ties by value."""
+    """Non-null values with their count, most frequent first, ties by value.
+
+    Nulls drop out by their count of 0. A filter on the value would be pushed below
+    the projection and compute an expensive column (labels, say) twice.
+    """
     counted = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("count"))
+        df.groupBy(column)
+        .agg(F.count(column).alias("count"))
+        .filter(F.col("count") > 0)
         .orderBy(F.desc("count"), column)
     )
     return counted if n is None else counted.limit(n)
@@ -84,7 +88,7 @@ def size_summary(df: DataFrame, group: str) -> DataFrame:
     squares = F.sum((F.col("size") * F.col("size")).cast("double") * F.col("freq"))
     variance = (squares - total * total / n) / (n - 1)
     quarter = [
-        F.percentile("size", q, "freq").alias(name)
+        F.percentile("size", q, F.col("freq")).alias(name)
         for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
     ]
     return by_size.agg(
