@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cardloom.functions.common import strip
+from cardloom.functions.common import WORD_CHAR, strip
 from cardloom.functions.label_rules import (
     FALLBACK,
     FALLBACK_LABEL,
@@ -31,9 +31,13 @@ def lower_types(types: Column) -> Column:
     return F.coalesce(F.transform(types, F.lower), F.array().cast("array<string>"))
 
 
+# A word boundary between Unicode word characters; the JVM's own differs on some digits.
+_BOUNDARY = f"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
+
+
 def found(text: Column, pattern: str) -> Column:
     """Regex search with Unicode classes; the dot stops at a line feed only."""
-    return text.rlike("(?Ud)" + pattern)
+    return text.rlike("(?Ud)" + pattern.replace(r"\b", _BOUNDARY))
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -57,6 +61,8 @@ def rule_applies(rule: Rule, text: Column, folded: Column, types: Column) -> Col
         tests.append(_any([text.contains(w) for w in rule.words]))
     if rule.signals:
         tests.append(~_any([text.contains(s) for s in rule.signals]))
+    if rule.hints:
+        tests.append(_any([folded.contains(h) for h in rule.hints]))
     for patterns in (rule.any_of, rule.also):
         if patterns:
             tests.append(_any([found(folded, p) for p in patterns]))

@@ -1,8 +1,8 @@
 """TF-IDF as DataFrame jobs: vocabulary, weights, vectors.
 
-Long form throughout: one row per document and term. The text is shuffled once by
-document id; counting, normalising and every later per-document step reuse that
-partitioning.
+Long form throughout: one row per document and term. For the vocabulary the text is
+read where it lies; for the weights it is shuffled once by document id, and counting
+and normalising reuse that layout.
 """
 
 from __future__ import annotations
@@ -52,6 +52,12 @@ def _bound(limit: int | float, n_docs: int) -> float:
     return limit if isinstance(limit, int) else limit * n_docs
 
 
+def _by_id(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``(id, text)`` laid out by id: the one shuffle of the text. Moving the text is
+    cheaper by far than moving its terms, which then count and normalise in place."""
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+
+
 def term_frequencies(
     docs: DataFrame, config: TfidfConfig = TfidfConfig(), text: str = "text"
 ) -> DataFrame:
@@ -73,9 +79,8 @@ def fit_tfidf(
     ``max_features`` terms, indexed in term order."""
     n_docs = docs.count()
     low, high = _bound(config.min_df, n_docs), _bound(config.max_df, n_docs)
-    kept = settle(
-        term_frequencies(docs, config, text).filter((F.col("df") >= low) & (F.col("df") <= high))
-    )
+    counted = term_frequencies(docs, config, text)
+    kept = settle(counted.filter((F.col("df") >= low) & (F.col("df") <= high)))
     n_terms = kept.count()
     if n_terms == 0:
         raise ValueError("no terms remain within the document frequency bounds")
@@ -98,9 +103,9 @@ def tfidf_weights(
 
     The same function weighs the fitted corpus and new text.
     """
-    by_doc = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).repartition("id")
+    texts = _by_id(docs, text, key)
     counts = (
-        by_doc.select("id", F.explode(_grams(F.col("_text"), model.config)).alias("term"))
+        texts.select("id", F.explode(_grams(F.col("text"), model.config)).alias("term"))
         .groupBy("id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

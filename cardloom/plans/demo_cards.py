@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardloom.sources.tables import read_spread
+
 TEMPLATES = (
     "",
     "Flying, vigilance",
@@ -67,7 +69,7 @@ TYPE_LINES = {
 
 
 def read_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return read_spread(spark, f"{sf_dir}/part.parquet", "p_partkey")
 
 
 def demo_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +109,5 @@ def _card_id(key):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "id")
+    docs = read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+    return docs.withColumnRenamed("doc_id", "id")
