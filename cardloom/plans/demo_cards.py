@@ -76,7 +76,7 @@ def demo_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Core card rows; the columns no query needs are left out on purpose."""
     key = F.col("p_partkey")
     name = F.when(key % 97 != 0, F.col("p_name"))
-    template = F.array(*[F.lit(t) for t in TEMPLATES])[(key % len(TEMPLATES)).cast("int")]
+    template = F.lit(list(TEMPLATES))[(key % len(TEMPLATES)).cast("int")]
     text = F.when(key % 89 != 0, F.replace(template, F.lit("@"), F.col("p_name")))
     lines = [F.when(F.col("p_type") == k, v) for k, v in TYPE_LINES.items()]
     return read_parts(spark, sf_dir).select(

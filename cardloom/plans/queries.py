@@ -44,7 +44,13 @@ from cardloom.operators.tfidf import (
     tfidf_weights,
     vector_shape,
 )
-from cardloom.plans.build import BuildConfig, build_all, find_similar
+from cardloom.plans.build import (
+    BuildConfig,
+    build_all,
+    build_text_tables,
+    build_vectors,
+    find_similar,
+)
 from cardloom.plans.demo_cards import demo_cards, demo_clusters, documents
 from cardloom.session import scratch_path, settle
 from cardloom.sources import ingest, tables
@@ -593,23 +599,24 @@ def projection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_2d(scores, clusters)
 
 
-def _built(spark: SparkSession, sf_dir: str) -> str:
-    out = scratch_path(spark, "build")
-    config = BuildConfig(clusters=clustering.ClusterConfig(n_clusters=12, n_components=16, n_init=2))
-    build_all(demo_cards(spark, sf_dir), out, config)
-    return out
+_SMALL = BuildConfig(clusters=clustering.ClusterConfig(n_clusters=12, n_components=16, n_init=2))
 
 
 def full_cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a whole build over the cards, lists as JSON text."""
-    built = tables.read_table(spark, f"{_built(spark, sf_dir)}/cluster_report")
+    out = scratch_path(spark, "build")
+    build_all(demo_cards(spark, sf_dir), out, _SMALL)
+    built = tables.read_table(spark, f"{out}/cluster_report")
     lists = [f.name for f in built.schema if f.dataType.typeName() == "array"]
     return built.withColumns({c: json_text(F.col(c)) for c in lists})
 
 
 def similar_in_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar cards looked up by name in the stored tables of a whole build."""
-    return find_similar(spark, _built(spark, sf_dir), "hot gizmo")
+    """Similar cards looked up by name in stored tables."""
+    out = scratch_path(spark, "build")
+    build_text_tables(demo_cards(spark, sf_dir), out)
+    build_vectors(spark, out)
+    return find_similar(spark, out, "hot gizmo")
 
 
 def clean_string_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

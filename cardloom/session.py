@@ -24,6 +24,8 @@ def local_session(cpus: int | str = "*", app: str = "cardloom") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call-site capture makes building large expressions from Python slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # More clusters than the default 128 groups would push the centroid

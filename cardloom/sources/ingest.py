@@ -91,11 +91,25 @@ def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
         .option("pathGlobFilter", pattern)
         .load(require_path(spark, path))
     )
-    return files.select(
+    hashed = files.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("length").alias("file_bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
+    # A scan plans no split for an empty file, so those come from the listing.
+    empty = spark.createDataFrame(
+        [(name,) for name in _empty_files(spark, path, pattern)], "file_name string"
+    ).select(
+        "file_name", F.lit(0).cast("long").alias("file_bytes"), F.sha2(F.lit(""), 256).alias("sha256")
+    )
+    return hashed.unionByName(empty)
+
+
+def _empty_files(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    glob = spark._jvm.org.apache.hadoop.fs.Path(path, pattern)
+    fs = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = fs.globStatus(glob) or []
+    return [s.getPath().getName() for s in listed if s.isFile() and s.getLen() == 0]
 
 
 def missing_outputs(

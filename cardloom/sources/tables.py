@@ -58,9 +58,8 @@ def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Read a table for heavy work per row. One with fewer splits than the cluster has
     cores is spread by key; a larger one stays as it lies, without a shuffle."""
     table = read_table(spark, path)
-    if table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
-        return table
-    return table.repartition(key)
+    cores = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
 
 
 def write_table(df: DataFrame, path: str) -> None:
