@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.operators.project import optional_column, require_columns
-from cardloom.session import BROADCAST_LIMIT
+from cardloom.session import BROADCAST_LIMIT, stored
 
 
 def left_join(
@@ -41,7 +41,7 @@ def join_clusters(
 
 def aligned_join(left: DataFrame, row_map: DataFrame, key: str = "id") -> DataFrame:
     """Inner join to a row map, sorted by row; an error unless every row pairs up."""
-    joined = left.join(row_map, key, "inner")
+    joined = stored(left.join(row_map, key, "inner"), "aligned")
     got, wanted = joined.count(), row_map.count()
     if got != wanted:
         raise ValueError(f"row alignment mismatch: joined {got} rows, row map has {wanted}")

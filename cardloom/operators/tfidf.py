@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cardloom.functions.words import gram_runs, ngrams, word_tokens
 from cardloom.operators.joins import small_side, table_bytes
 from cardloom.operators.ranking import with_row_index
-from cardloom.session import settle
+from cardloom.session import settle, stored
 
 
 @dataclass(frozen=True)
@@ -120,9 +120,9 @@ def tfidf_weights(
 def fit_transform(
     docs: DataFrame, config: TfidfConfig = TfidfConfig(), text: str = "text", key: str = "id"
 ) -> tuple[TfidfModel, DataFrame]:
-    """Model and settled weights of one corpus."""
+    """Model and stored weights of one corpus."""
     model = fit_tfidf(docs, config, text)
-    return model, settle(tfidf_weights(docs, model, text, key))
+    return model, stored(tfidf_weights(docs, model, text, key), "weights")
 
 
 def vector_shape(docs: DataFrame, model: TfidfModel) -> DataFrame:

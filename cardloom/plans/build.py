@@ -27,8 +27,8 @@ from cardloom.operators.reduction import (
     save_svd,
 )
 from cardloom.operators.text_tables import enriched_cards, oracle_tokens, type_features
-from cardloom.operators.tfidf import TfidfConfig, all_rows, fit_transform
-from cardloom.session import settle
+from cardloom.operators.tfidf import TfidfConfig, all_rows, fit_tfidf, tfidf_weights
+from cardloom.session import stored
 from cardloom.sources.ingest import require_outputs
 from cardloom.sources.tables import load_vectors, read_table, save_vectors, write_table
 
@@ -53,17 +53,17 @@ def build_text_tables(core: DataFrame, out: str, config: BuildConfig = BuildConf
 
 def build_vectors(spark: SparkSession, out: str, config: BuildConfig = BuildConfig()) -> None:
     cards = require_columns(read_table(spark, f"{out}/cards_enriched"), ["oracle_text_norm"])
-    model, weights = fit_transform(cards, config.tfidf, text="oracle_text_norm")
-    save_vectors(model, weights, cards, f"{out}/vectors")
+    model = fit_tfidf(cards, config.tfidf, "oracle_text_norm")
+    save_vectors(model, tfidf_weights(cards, model, "oracle_text_norm"), cards, f"{out}/vectors")
 
 
 def build_clusters(spark: SparkSession, out: str, config: BuildConfig = BuildConfig()) -> None:
     model, weights, ids = load_vectors(spark, f"{out}/vectors", config.tfidf)
-    rows = settle(all_rows(ids, weights))
+    rows = stored(all_rows(ids, weights), "rows")
     svd = fit_svd(ml_vectors(rows, model.n_terms), config.clusters.n_components)
     save_svd(svd, spark, f"{out}/models/svd")
-    scores = settle(project_rows(rows, svd))
-    write_table(scores, f"{out}/vectors/scores")
+    write_table(project_rows(rows, svd), f"{out}/vectors/scores")
+    scores = read_table(spark, f"{out}/vectors/scores")
     features = unit_vectors(scores)
     kmeans, _ = fit_kmeans(features, config.clusters)
     save_kmeans(kmeans, f"{out}/models/kmeans")

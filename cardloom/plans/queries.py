@@ -52,7 +52,7 @@ from cardloom.plans.build import (
     find_similar,
 )
 from cardloom.plans.demo_cards import demo_cards, demo_clusters, documents
-from cardloom.session import scratch_path, settle
+from cardloom.session import scratch_path, stored
 from cardloom.sources import ingest, tables
 
 SEED = 42
@@ -508,16 +508,14 @@ def similar_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("item_id", "id")
     model, weights = fit_transform(docs)
     queries = all_rows(items, tfidf_weights(items, model))
-    near = nearest_rows(all_rows(docs, weights), queries, 5)
-    return near
+    return nearest_rows(all_rows(docs, weights), queries, 5)
 
 
 def similar_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest documents of every document."""
     docs = documents(spark, sf_dir)
     _, weights = fit_transform(docs)
-    near = nearest_for_all(weights, docs, 10)
-    return near
+    return nearest_for_all(weights, docs, 10)
 
 
 # Clusters
@@ -585,7 +583,7 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svd_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, weights = fit_transform(docs)
-    rows = settle(all_rows(docs, weights))
+    rows = stored(all_rows(docs, weights), "rows")
     svd = fit_svd(ml_vectors(rows, model.n_terms), 8)
     return project_rows(rows, svd)
 
@@ -593,7 +591,7 @@ def svd_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, weights = fit_transform(docs)
-    rows = settle(all_rows(docs, weights))
+    rows = stored(all_rows(docs, weights), "rows")
     scores = project_rows(rows, fit_svd(ml_vectors(rows, model.n_terms), 2))
     clusters = docs.select("id", (F.xxhash64("source") % 5).cast("int").alias("cluster"))
     return projection_2d(scores, clusters)

@@ -5,7 +5,7 @@ from cardloom.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
+    session = local_session(8, "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

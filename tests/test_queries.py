@@ -77,10 +77,25 @@ def test_build(spark, tmp_path):
     assert read_table(spark, f"{out}/card_labels").filter("cluster is not null").count() == 0
 
 
+def physical_plan(spark, name):
+    return contract.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
-    "name", ["card_labels", "labels_long", "similar_to_doc", "tfidf_weights", "cluster_top_terms", "value_counts"]
+    "name", ["card_labels", "labels_long", "similar_to_doc", "tfidf_transform", "cluster_top_terms"]
 )
 def test_plans_have_no_cross_join_and_no_python(spark, name):
-    plan = contract.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    plan = physical_plan(spark, name)
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "EvalPython" not in plan and "MapInPandas" not in plan
+
+
+@pytest.mark.parametrize("name", ["term_frequencies", "labels_long", "primary_label_counts"])
+def test_expensive_columns_are_not_copied_into_filters(spark, name):
+    filters = [line for line in physical_plan(spark, name).splitlines() if "Filter " in line]
+    assert not any("regexp_extract_all" in f or "RLIKE" in f for f in filters)
+
+
+@pytest.mark.parametrize("name", ["cluster_top_terms", "cluster_top_items", "cluster_representatives"])
+def test_top_n_is_limited_before_the_shuffle(spark, name):
+    assert physical_plan(spark, name).count("WindowGroupLimit") == 2
