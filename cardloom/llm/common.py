@@ -48,10 +48,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 20)
-        _POWERS[:] = [
-            np.cumprod(np.concatenate(([1], np.full(size - 1, base, dtype=np.uint64))), dtype=np.uint64)
-            for base in (np.uint64(_BASE), np.uint64(_BASE_INVERSE))
-        ]
+        for k, base in enumerate((_BASE, _BASE_INVERSE)):
+            factors = np.full(size, base, dtype=np.uint64)
+            factors[0] = 1
+            _POWERS[k : k + 1] = [np.cumprod(factors)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, simhash
+from . import (
+    ann,
+    chat,
+    decontaminate,
+    language_id,
+    licenses,
+    line_dedup,
+    mixing,
+    secret_scan,
+    simhash,
+    substring_dedup,
+)
 from .common import read_documents
 
 
@@ -24,14 +35,55 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_passages(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join("licenses", ",").alias("licenses"), "spans",
+    )
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    marks = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    back = chat.read_back(chat.training_examples(turns.unionByName(marks)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.col("formatted_chars"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     return decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -40,9 +92,110 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_ann_search": op4_ann_search,
     "op5_mix_sources": op5_mix_sources,
+    "op6_license_scan": op6_license_scan,
+    "op7_chat_format": op7_chat_format,
     "op8_language_id": op8_language_id,
+    "op9_secret_scan": op9_secret_scan,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# SQL for DuckDB. Words are split at ASCII white space; runs of 13 words are compared as text.
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+            FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+        firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+        hit AS (
+            SELECT DISTINCT doc_id, i + k AS i
+            FROM windows JOIN firsts USING (g), unnest(range(0, 13)) AS t(k) WHERE first < doc_id),
+        lists AS (SELECT doc_id, list(i) AS gone FROM hit GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+            sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+                [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(gone, i)] END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN lists USING (doc_id)""",
+    "op4_ann_search": """
+        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        pairs AS (
+            SELECT q.vec_id AS query_id, e.vec_id, list_distance(q.v, e.v) AS score
+            FROM e AS q JOIN e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank,
+            vec_id, score
+        FROM pairs QUALIFY rank <= 10""",
+    "op5_mix_sources": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+            FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s),
+        w AS (SELECT *, [5.0, 2.0, 1.0][(k % 3) + 1]::DOUBLE AS weight, 3 * source_size AS cap FROM k),
+        c AS (
+            SELECT *, sum(source_size) OVER ()::DOUBLE AS total, sum(weight) OVER () AS weights,
+                coalesce(sum(cap) OVER before, 0)::DOUBLE AS cap_before,
+                coalesce(sum(weight) OVER before, 0) AS weight_before
+            FROM w WINDOW before AS (
+                ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        p AS (SELECT *, cap * (weights - weight_before) <= (total - cap_before) * weight AS stopped FROM c),
+        t AS (
+            SELECT *, CASE WHEN stopped THEN cap::DOUBLE ELSE weight
+                * (total - sum(CASE WHEN stopped THEN cap ELSE 0 END) OVER ())
+                / sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER () END AS target FROM p),
+        q AS (SELECT source, source_size, target, least(round(target)::BIGINT, cap)::BIGINT AS quota FROM t),
+        placed AS (
+            SELECT doc_id, size, source_size, target, quota,
+                coalesce(sum(size) OVER (
+                    PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), doc_id, size
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+            FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+        SELECT doc_id, size, source_size, target, (
+            greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start))
+            + greatest(0, least(size, quota - 2 * source_size - start)))::BIGINT AS taken
+        FROM placed""",
+    "op7_chat_format": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        sized AS (
+            SELECT *, length('<turn:></turn>') + 1 + 2 * length(role || text) - length(replace(replace(replace(
+                role || text, '\', ''), '<', ''), '>', '')) AS chars FROM rows),
+        sums AS (
+            SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS upto,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM sized)
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+                AS loss_sha256,
+            sum(upto) FILTER (role = 'assistant' OR back = 1)::BIGINT AS formatted_chars
+        FROM sums GROUP BY conv_id""",
+    "op10_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        grams AS (
+            SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+            FROM b, unnest(range(1, greatest(len(w) - 11, 2))) AS t(i) WHERE len(w) > 0),
+        found AS (
+            SELECT doc_id, i, n, item_id FROM (
+                SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+                FROM d, (SELECT DISTINCT n FROM grams), unnest(range(1, len(w) - n + 2)) AS t(i))
+            JOIN grams USING (n, g)),
+        hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+            coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
