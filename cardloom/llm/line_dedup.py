@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # Letters whose counts bound the edit distance from below; any letters would be right.
 COUNTED = "etanirso"
+# Lines in question that are broadcast to find their texts (about 50 bytes each); more of
+# them are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _lines(docs: DataFrame, min_chars: int, *more: str) -> DataFrame:
@@ -111,6 +114,11 @@ def edit_distance_within(left: str, right: str, edits: int) -> str:
     return f"abs(char_length({left}) - char_length({right})) <= {edits} and {body}"
 
 
+def _if_small(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` for a broadcast if its ``rows`` entries are known to be few, else as it is."""
+    return F.broadcast(df) if (rows or 0) <= BROADCAST_ROWS else df
+
+
 def removals(docs: DataFrame, min_chars: int = 20, edits: int = 1) -> DataFrame:
     """(id, h, drop): the positions of the lines to remove, per document that has any.
 
@@ -122,18 +130,18 @@ def removals(docs: DataFrame, min_chars: int = 20, edits: int = 1) -> DataFrame:
     seen = written(_lines(docs, min_chars).withColumn("at", order), "lines")
     first = seen.groupBy("a", "b").agg(F.min("at").alias("first"))
 
+    keys = {f"i{k}": x for k, x in enumerate(_index_keys(edits))} | {f"p{k}": x for k, x in enumerate(_probe_keys(edits))}
     keyed = (
         _lines(docs, min_chars, "norm")
         .withColumn("n", F.char_length("norm"))
-        .select(
-            "a", "b", _letter_counts().alias("letters"),
-            F.array(*_index_keys(edits)).alias("index"), F.array(*_probe_keys(edits)).alias("probe"),
-        )
+        .select("a", "b", _letter_counts().alias("letters"), *[x.alias(name) for name, x in keys.items()])
         .groupBy("a", "b")
-        .agg(F.first("letters").alias("letters"), F.first("index").alias("index"), F.first("probe").alias("probe"))
+        .agg(*[F.first(name).alias(name) for name in ("letters", *keys)])
+    )
+    index = keyed.select(
+        F.explode(F.array(*[x for x in keys if x[0] == "i"])).alias("key"), F.col("a").alias("oa"), F.col("letters").alias("others")
     )
-    index = keyed.select(F.explode("index").alias("key"), F.col("a").alias("oa"), F.col("letters").alias("others"))
-    probe = keyed.select(F.explode(F.array_compact("probe")).alias("key"), "a", "letters")
+    probe = keyed.select(F.explode(F.array_compact(F.array(*[x for x in keys if x[0] == "p"]))).alias("key"), "a", "letters")
     pairs = (
         probe.join(
             index,
@@ -150,7 +158,8 @@ def removals(docs: DataFrame, min_chars: int = 20, edits: int = 1) -> DataFrame:
     places = (
         seen.join(wanted, "a", "left_semi").join(first, ["a", "b"]).filter("at = first").select("id", "h", "pos", "a", "at")
     )
-    listed = places.groupBy("id", "h").agg(F.collect_set(F.struct("pos", "a", "at")).alias("places"))
+    listed = written(places.groupBy("id", "h").agg(F.collect_set(F.struct("pos", "a", "at")).alias("places")), "places")
+    listed = _if_small(listed, listed.agg(F.sum(F.size("places"))).first()[0])
     texts = (
         docs.join(listed, ["id", "h"])
         .select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
@@ -183,17 +192,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1) -> DataFra
 
     Texts are shuffled by document only; lines travel as hashes and segment keys.
     """
-    packed = docs.select(
-        F.struct("*").alias("row"),
+    keys = (
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"),
         F.xxhash64("text").alias("h"),
-        F.col("text").cast("string").alias("text"),
     )
-    drop = removals(packed.select("id", "h", "text"), min_chars, edits)
+    drop = removals(docs.select(*keys, F.col("text").cast("string").alias("text")), min_chars, edits)
     kept = F.expr(
-        "transform(filter(transform(split(text, '\n'), (x, i) -> struct(x as x, i as i)),"
+        "transform(filter(transform(split(row.text, '\n'), (x, i) -> struct(x as x, i as i)),"
         " s -> not array_contains(coalesce(drop, array()), s.i)), s -> s.x)"
     )
-    return packed.join(drop, ["id", "h"], "left").select(
+    return docs.select(F.struct("*").alias("row"), *keys).join(drop, ["id", "h"], "left").select(
         "row", kept.alias("kept_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_removed")
     )
