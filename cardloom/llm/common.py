@@ -62,11 +62,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def released(batches):
+    """``batches`` of a task; what Arrow holds of the earlier ones goes back to the system,
+    as Python workers are kept and share their executor's memory."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def chunks(column: pa.Array, limit: int = 1 << 20):
     """(first row, bytes, offsets) of slices of about ``limit`` bytes; null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     buffers = column.buffers()
-    offsets = np.frombuffer(buffers[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    offsets = np.frombuffer(buffers[1], dtype=np.int64 if wide else np.int32)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):

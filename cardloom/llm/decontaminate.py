@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from math import ceil
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # Bytes of item text per automaton: bounds what is broadcast and held by a task.
 BLOCK_BYTES = 2 << 20
@@ -136,22 +137,22 @@ def cut(text: str, spans: list) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _scanner(items, window: int):
+def _scanner(items, window: int, cutting: bool):
     def scan(batches):
         automaton = Automaton(items.value, window)
-        for batch in batches:
-            texts, before, owners = batch.column("text"), batch.column("spans"), batch.column("items")
-            counts, spans, found = [], [], []
-            for text, had, owned in zip(texts, before, owners):
+        for batch in released(batches):
+            counts, spans, found, clean = [], [], [], []
+            for text, had, owned in zip(batch.column("row").field("text"), batch.column("spans"), batch.column("items")):
                 words = _words(text.as_py())
                 more, ids = automaton.scan(words)
                 counts.append(len(words))
                 spans.append(_union([*had.as_py(), *more]))
                 found.append(sorted({*owned.as_py(), *(x for x in ids if x is not None)}))
+                clean.append(cut(text.as_py(), spans[-1]) if cutting and spans[-1] else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), texts, pa.array(counts, pa.int64()),
-                 pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.int64()))],
-                names=["row", "text", "n_words", "spans", "items"],
+                [batch.column("row"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                 pa.array(found, pa.list_(pa.int64())), pa.array(clean, pa.string())],
+                names=["row", "n_words", "spans", "items", "clean"],
             )
 
     return scan
@@ -167,13 +168,14 @@ def _union(spans: list) -> list:
     return out
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """(row, text, n_words, spans, items) for every row of ``docs`` (text, ...).
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, cutting: bool = False) -> DataFrame:
+    """(row, n_words, spans, items, clean) for every row of ``docs`` (text, ...).
 
     Words are runs of letters and digits (and everything beyond ASCII), A-Z lower-cased.
     A window is ``window`` consecutive words of an item, or all of a shorter item. Spans
     are the word ranges covered by windows; items are the ids with a window there (null
-    ids cover words but are not listed). ``row`` holds the input row, so extra columns may
+    ids cover words but are not listed). ``clean`` is the text without the spans, if there
+    are any and ``cutting`` asks for it, else null. ``row`` holds the input row, so extra columns may
     have any names. Items are split by hash into blocks of at most about 2 MB of text, one
     automaton each, through which the documents stream one after another. Null texts and
     items have no words.
@@ -182,19 +184,20 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> D
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, ceil(2 * size / BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    state = packed.select(
-        "row", "text", F.expr("cast(array() as array<array<bigint>>)").alias("spans"),
+    state = docs.select(
+        F.struct("*").alias("row"),
+        F.expr("cast(array() as array<array<bigint>>)").alias("spans"),
         F.expr("cast(array() as array<bigint>)").alias("items"),
     )
     schema = T.StructType([
-        packed.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
+        state.schema["row"], T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.LongType())),
+        T.StructField("clean", T.StringType()),
     ])
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows.collect()])
-        state = state.mapInArrow(_scanner(shared, window), schema)
+        state = state.mapInArrow(_scanner(shared, window, cutting and k == blocks - 1), schema)
     return state
 
 
@@ -215,28 +218,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     )
 
 
-def _cutter(batches):
-    for batch in batches:
-        texts = [
-            cut(t.as_py(), s.as_py()) if len(s) else t.as_py()
-            for t, s in zip(batch.column("text"), batch.column("spans"))
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(texts, pa.string()), pa.array([len(s) for s in batch.column("spans")], pa.int32())],
-            names=["row", "clean", "n_spans"],
-        )
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` without contaminated rows (coverage limit) and, in the others, without the
     word spans that reach the length limit. Same columns; texts without a hit unchanged."""
-    clean = judged(benchmark_hits(docs, benchmark, window)).filter("not contaminated").select("row", "text", "spans")
-    schema = T.StructType([clean.schema["row"], T.StructField("clean", T.StringType()), T.StructField("n_spans", T.IntegerType())])
-    out = clean.mapInArrow(_cutter, schema)
-    columns = [
-        F.when(F.col("n_spans") > 0, F.col("clean")).otherwise(F.col("row.text")).alias("text") if c == "text"
-        else F.when(F.col("n_spans") > 0, F.char_length("clean").cast(docs.schema[c].dataType)).otherwise(F.col("row.n_chars")).alias(c)
-        if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
-        for c in docs.columns
-    ]
-    return out.select(*columns)
+    kept = judged(benchmark_hits(docs, benchmark, window, cutting=True)).filter("not contaminated")
+    changed = F.col("clean").isNotNull()
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns["text"] = F.coalesce("clean", "row.text")
+    if "n_chars" in columns:
+        length = F.char_length("clean").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(changed, length).otherwise(F.col("row.n_chars"))
+    return kept.select(*[value.alias(name) for name, value in columns.items()])

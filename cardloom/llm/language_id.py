@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, released
 
 ORDER = 3  # longest context, in bytes
 UNKNOWN = "und"
@@ -45,7 +45,7 @@ def _contexts(symbols: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _gram_counts(batches):
-    for batch in batches:
+    for batch in released(batches):
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
         for first, data, offsets in chunks(batch.column(1)):
             symbols = SYMBOLS[data]
@@ -170,9 +170,9 @@ def _predictor(shared):
         model = object.__new__(Model)
         model.__dict__.update(shared.value)
         uniform = math.log2(model.alphabet)
-        for batch in batches:
-            texts, langs, scores, bits = batch.column("text"), [], [], []
-            for first, data, offsets in chunks(texts, 1 << 19):
+        for batch in released(batches):
+            texts, langs, scores, bits = batch.column("row").field("text"), [], [], []
+            for first, data, offsets in chunks(texts, 1 << 18):
                 lengths = model.bits(data, offsets) if model.langs else np.zeros((len(offsets) - 1, 0))
                 ascii_letter = np.concatenate(([0], np.cumsum((SYMBOLS[data] > 0) & (data < 128))))
                 plain = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     of random bytes. The input row is in ``row``, so other columns may have any names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays and lists
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    packed = docs.select(F.struct("*").alias("row"))
     schema = T.StructType([
         packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("bits", T.DoubleType()), T.StructField("accepted", T.BooleanType()),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, in_one_text, mixed, word_hashes, words
+from .common import chunks, gram_hashes, in_one_text, mixed, released, word_hashes, words
 
 # Notices as they are published, by SPDX identifier.
 TEMPLATES = {
@@ -111,7 +111,7 @@ def _matches(bands: Bands, grams: np.ndarray, known: np.ndarray, n: int, shingle
 def _scan(templates: dict[str, str], shingle: int, contained: float):
     def scan(batches):
         bands = Bands(templates, shingle, contained)
-        for batch in batches:
+        for batch in released(batches):
             out: list[list] = [[] for _ in range(batch.num_rows)]
             for row, data, offsets in chunks(batch.column(1)):
                 grams, ok, first = _shingles(data, offsets, shingle)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 # The base patterns and the least lengths of their findings.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -95,7 +97,7 @@ def _named(spans) -> str:
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in released(batches):
         counts, bases, spans = [], [], []
         for text in batch.column(1):
             text = text.as_py() or ""

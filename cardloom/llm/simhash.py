@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .components import components
 
 BITS = 64
@@ -49,7 +49,7 @@ def _majority(parts) -> int:
 
 
 def _fingerprint_batches(batches):
-    for batch in batches:
+    for batch in released(batches):
         prints = np.fromiter((_fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"]
@@ -229,7 +229,7 @@ def _numbered_batches(batches):
     from pyspark import TaskContext
 
     base, count = TaskContext.get().partitionId() << 40, 0
-    for batch in batches:
+    for batch in released(batches):
         texts = batch.column(0).field("text")
         prints = np.fromiter((_fingerprint(x.as_py()) for x in texts), np.uint64, batch.num_rows)
         rows = np.arange(count, count + batch.num_rows, dtype=np.int64) + base

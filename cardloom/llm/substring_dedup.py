@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, chunks, gram_hashes, in_one_text, text_megabytes, word_hashes, words
+from .common import LAST_ID, chunks, gram_hashes, in_one_text, released, text_megabytes, word_hashes, words
 
 BLOCK_MEGABYTES = 8
 _RUN = (1 << 20) - 64  # windows whose anchors are found at a time
@@ -67,7 +67,7 @@ def _anchor_rows(window: int, anchor: int, buckets: int, blocks: int):
     documents goes straight to their blocks, with one entry left for the bucket."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in released(batches):
             owners = batch.column(0).to_numpy().astype(np.int64)
             keys, docs, places = [], [], []
             for row, data, offsets in chunks(batch.column(1)):
