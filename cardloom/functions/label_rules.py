@@ -171,7 +171,6 @@ RULES: tuple[Rule, ...] = (
 FALLBACK = Rule(FALLBACK_LABEL, 0.30, "No confident rule label matched.")
 
 # The label taxonomy.
-CATEGORIES = ("card_role", "mechanic", "archetype_piece", "deck_function", "needs_review")
 
 TAXONOMY: tuple[LabelInfo, ...] = (
     LabelInfo("vanilla_creature", "card_role",

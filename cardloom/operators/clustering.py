@@ -14,6 +14,7 @@ from pyspark.storagelevel import StorageLevel
 
 @dataclass(frozen=True)
 class ClusterConfig:
+    # The defaults of the workload.
     n_clusters: int = 200
     n_components: int = 256
     random_state: int = 42

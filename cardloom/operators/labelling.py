@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,13 +93,17 @@ def labels_long(cards: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     )
 
 
-def best_match_per_label(long_labels: DataFrame) -> DataFrame:
-    """Keep the most confident match of each card and label, for label rows from
-    several rule sets."""
+def best_match_per_label(*rule_sets: DataFrame) -> DataFrame:
+    """Keep the most confident match of each card and label among the label rows of
+    several rule sets. Of equal ones the earlier set's stays, then the smaller source."""
+    fields = ("id", "label", "confidence", "source", "reason")
+    rows = [s.select(*fields, F.lit(k).alias("place")) for k, s in enumerate(rule_sets)]
+    together = reduce(DataFrame.unionByName, rows)
+    order = F.struct(-F.col("confidence"), "place", "source", "reason")
     record = F.struct("confidence", "source", "reason")
     return (
-        long_labels.groupBy("id", "label")
-        .agg(F.max_by(record, "confidence").alias("best"))
+        together.groupBy("id", "label")
+        .agg(F.min_by(record, order).alias("best"))
         .select("id", "label", "best.*")
     )
 
@@ -134,5 +139,5 @@ def label_summary(labels: DataFrame, clusters: DataFrame | None = None) -> DataF
     return one.withColumn("clusters", F.lit(found).cast("long"))
 
 
-def primary_label_counts(labels: DataFrame, n: int | None = 25) -> DataFrame:
+def primary_label_counts(labels: DataFrame, n: int | None = None) -> DataFrame:
     return value_counts(labels, "primary_label", n)

@@ -20,10 +20,11 @@ from cardloom.session import settle, stored
 
 @dataclass(frozen=True)
 class TfidfConfig:
+    # The defaults of the workload; a vocabulary cap only where asked for.
     min_df: int | float = 3
     max_df: int | float = 0.90
     ngram_range: tuple[int, int] = (1, 2)
-    max_features: int | None = 250_000
+    max_features: int | None = None
     sublinear_tf: bool = True
     lowercase: bool = True
 

@@ -35,7 +35,8 @@ from cardloom.sources.tables import load_vectors, read_table, save_vectors, writ
 
 @dataclass(frozen=True)
 class BuildConfig:
-    tfidf: TfidfConfig = field(default_factory=TfidfConfig)
+    # The cap bounds the decomposition, which holds terms x components on the driver.
+    tfidf: TfidfConfig = field(default_factory=lambda: TfidfConfig(max_features=250_000))
     clusters: ClusterConfig = field(default_factory=ClusterConfig)
     normalize: NormalizeOptions = field(default_factory=NormalizeOptions)
     # Space in which representatives are measured: "svd" or "normalized".
@@ -108,5 +109,5 @@ def find_similar(spark: SparkSession, out: str, name: str, k: int = 10) -> DataF
     query = first_match(cards, name).first()["id"]
     near = nearest_to_one(weights, ids, query, k)
     return show_neighbors(near, cards, "name", "type_line").select(
-        "id", F.col("score"), "name", "type_line"
+        "id", "score", "rank", "name", "type_line"
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.sources.tables import read_spread
+from cardloom.sources.tables import read_table
 
 TEMPLATES = (
     "",
@@ -69,7 +69,7 @@ TYPE_LINES = {
 
 
 def read_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_spread(spark, f"{sf_dir}/part.parquet", "p_partkey")
+    return read_table(spark, f"{sf_dir}/part.parquet")
 
 
 def demo_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,5 +109,5 @@ def _card_id(key):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     return docs.withColumnRenamed("doc_id", "id")

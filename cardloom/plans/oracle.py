@@ -297,7 +297,8 @@ def _similar_to(query: str, table: str, key: str, columns: str) -> str:
 q AS (SELECT * FROM wt WHERE id = ({query})),
 sims AS (SELECT d.id, round(sum(q.weight * d.weight), 9) AS score
          FROM q JOIN wt d ON q.term_idx = d.term_idx GROUP BY d.id)
-SELECT t.{key} AS id, {columns}, round(coalesce(s.score, 0.0), 3) AS score
+SELECT t.{key} AS id, {columns}, round(coalesce(s.score, 0.0), 3) AS score,
+    row_number() OVER (ORDER BY coalesce(s.score, 0.0) DESC, t.{key})::INTEGER AS rank
 FROM {table} t LEFT JOIN sims s ON s.id = t.{key}
 WHERE t.{key} <> ({query}) ORDER BY coalesce(s.score, 0.0) DESC, t.{key} LIMIT 10"""
 
@@ -417,16 +418,18 @@ ORACLE_SQL: dict[str, str] = {
         CARDS, NORM, TYPES, ENRICHED, LABELS,
         _labels("enriched", "NULL::VARCHAR", "oracle_text", "basic_types", "raw"),
     )
-    + """SELECT DISTINCT id, label, confidence, reason FROM (
-         SELECT id, label, confidence, reason FROM lab UNION ALL
-         SELECT id, label, confidence, reason FROM raw)""",
+    + """SELECT id, label, confidence, source, reason FROM (
+         SELECT id, label, round(confidence + [0.02, -0.02, 0.0][length(label) % 3 + 1], 2)::DOUBLE AS confidence,
+             'raw' AS source, reason, 0 AS place FROM raw UNION ALL
+         SELECT id, label, confidence::DOUBLE, 'normalised', reason, 1 FROM lab)
+         QUALIFY row_number() OVER (PARTITION BY id, label ORDER BY confidence DESC, place, reason) = 1""",
     "label_summary": _with(*_LABELLED)
     + """SELECT count(*) AS cards_labeled, count(DISTINCT primary_label) AS primary_labels,
          round(avg(needs_review::INTEGER), 6) AS review_share,
          (SELECT count(DISTINCT cluster) FROM clusters) AS clusters FROM percard""",
     "primary_label_counts": _with(*_LABELLED)
     + """SELECT primary_label, count(*) AS count FROM percard GROUP BY primary_label
-         ORDER BY count DESC, primary_label LIMIT 25""",
+         ORDER BY count DESC, primary_label""",
     "taxonomy_join": _with(
         *_LABELLED, f"taxonomy AS (SELECT * FROM (VALUES {_TAXONOMY}) AS t(label, category, description))"
     )
@@ -526,6 +529,14 @@ ORACLE_SQL: dict[str, str] = {
             "name, type_line",
         ),
     ),
+    "find_similar": _with(
+        CARDS, NORM, _grams("norm", "id", "oracle_text_norm", "g"), _vocabulary("g", "norm"),
+        _weights("g", "wt"),
+        _similar_to(
+            "SELECT min(id) FROM cards WHERE lower(name) = 'hot gizmo'", "cards", "id",
+            "name, type_line",
+        ),
+    ),
     "similar_batch": _with(
         *_DOC_WEIGHTS, *_NEW_WEIGHTS,
         _nearest("bw", "SELECT doc_id AS id FROM documents", "SELECT item_id AS id FROM benchmark",

@@ -43,10 +43,10 @@ def read_cards(spark: SparkSession, path: str, whole_file: bool = True) -> DataF
 
     A ``whole_file`` array is parsed by one task per file; write the result to
     Parquet once and go on from there. Files with one array (or card) per line are
-    split among tasks.
+    split among tasks. Malformed input and values of a wrong type raise an error.
     """
     require_path(spark, path)
-    raw = spark.read.schema(CARD_SCHEMA).option("multiLine", whole_file).json(path)
+    raw = spark.read.schema(CARD_SCHEMA).option("multiLine", whole_file).option("mode", "FAILFAST").json(path)
     return core_projection(raw.withColumn("released_at", F.to_timestamp("released_at")))
 
 
@@ -54,14 +54,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(require_path(spark, path))
 
 
-def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Read a table for heavy work per row. One with fewer splits than the cluster has
-    cores is spread by key; a larger one stays as it lies, without a shuffle."""
-    table = read_table(spark, path)
-    cores = spark.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
-
-
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

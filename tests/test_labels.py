@@ -126,7 +126,7 @@ def test_long_form_and_best_match(spark):
         ("a", 1, "targeted_removal_destroy"), ("a", 2, "mill"), ("b", 1, "needs_review"),
     ]
     weaker = long.withColumn("confidence", F.lit(0.1)).withColumn("reason", F.lit("weak"))
-    best = best_match_per_label(weaker.unionByName(long)).collect()
+    best = best_match_per_label(weaker, long).collect()
     assert len(best) == 3 and all(r.confidence > 0.1 and r.reason != "weak" for r in best)
 
 

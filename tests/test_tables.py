@@ -113,10 +113,14 @@ def test_vector_artifacts(spark, tmp_path):
     assert sorted(r.id for r in ids.collect()) == [1, 2, 3]
 
 
-def test_read_spread(spark, tmp_path):
-    tables.write_table(spark.range(100).coalesce(1), str(tmp_path / "t"))
-    spread = tables.read_spread(spark, str(tmp_path / "t"), "id")
-    assert spread.rdd.getNumPartitions() > 1 and spread.count() == 100
+def test_malformed_cards_raise(spark, tmp_path):
+    cut_off = tmp_path / "cut.json"
+    cut_off.write_text('[{"id": "a", "name": "x", "cmc": 1.0}, {"id": "b", "na')
+    wrong = tmp_path / "wrong.json"
+    wrong.write_text('[{"id": "a", "name": "x", "cmc": "many"}]')
+    for path in (cut_off, wrong):
+        with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+            tables.read_cards(spark, str(path)).collect()
 
 
 def test_joins(spark):
