@@ -1,0 +1,11 @@
+import pytest
+
+from cardloom.session import local_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(8, "tests")
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
