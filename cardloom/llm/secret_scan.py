@@ -28,7 +28,8 @@ SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 _ASSIGNMENT = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?P=quote)[ \t]*(?::=|=>|[:=])(?!=)[ \t]*"""
+    # A name begins where no name goes on before it, so that a long run is read once.
+    r"""(?P<quote>["']?)(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z0-9_.-]++)(?P=quote)[ \t]*(?::=|=>|[:=])(?!=)[ \t]*"""
 )
 _PART = re.compile(r"""(?P<q>["'`])(?P<string>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[A-Za-z0-9+/_.=$-]+)""")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|\|\|)?[ \t]*(?=[\"'`])")
