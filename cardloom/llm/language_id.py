@@ -15,6 +15,7 @@ from .common import chunks, released
 
 ORDER = 3  # longest context, in bytes
 UNKNOWN = "und"
+SALTS = 256  # parts in which a language's rows are ranked before they meet
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -150,8 +151,12 @@ def fit(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
         F.xxhash64("doc_id", "text").alias("h"),
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "h").distinct()
+    # Ranked twice, so that no task ranks the rows that every partition sends of a language.
+    chosen = rows.select("lang", "h", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    for by in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= per_language)
+    chosen = chosen.select("lang", "h").distinct()
     chosen = [(r.lang, r.h) for r in chosen.collect()]  # at most per_language a language
     if not chosen:
         return Model([], [], least)

@@ -253,6 +253,10 @@ def test_language_id(spark, odd):
     assert len(got) and (got.lang == got.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
     rows = {r.doc_id: r for r in language_id.identify(odd).collect() if r.doc_id is not None}
     assert all(rows[k].lang_pred == "und" and rows[k].score == 0 for k in (3, 4, 7)) and rows[8].lang_pred != "und"
+    # The sample depends on the rows alone, not on their partitions.
+    wide = language_id.fit(docs.repartition(9), per_language=20)
+    narrow = language_id.fit(docs.coalesce(1), per_language=20)
+    assert wide.langs == narrow.langs and np.array_equal(wide.lengths, narrow.lengths)
     # A prediction depends on the text alone, not on its batch.
     model = language_id.fit(docs)
     each = {r.row.doc_id: r.bits for r in language_id.predict(docs.repartition(7), model).collect()}
@@ -267,6 +271,7 @@ def test_secret_scan():
     assert text[slice(*secret_scan.literal_spans(text)[0])] == "a8Fk29sdKq"
     assert secret_scan.literal_spans('token = "abcD1" + "efG2hZ9"') == [(9, 14), (19, 26)]
     assert secret_scan.literal_spans("password: changeme\nname = 'a8Fk29sdKq'") == []
+    assert secret_scan.literal_spans("x=1 " + "a" * 500_000) == []  # read once, not from every letter
 
 
 @pytest.mark.parametrize("operator", [
