@@ -587,4 +587,10 @@ ORACLE_SQL: dict[str, str] = {
     "unit_rows": _with(_MEMBERS)
     + """SELECT id, dim::INTEGER AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS value
          FROM dims""",
+    "kmeans_nearest": _with(_MEMBERS) + "SELECT DISTINCT id, true AS nearest FROM dims",
+    "svd_lengths": _with(_MEMBERS)
+    + "SELECT id, round(sum(x * x), 6) AS squared_length FROM dims GROUP BY id",
+    "written_file_checksums": """SELECT strlen(lines)::BIGINT AS file_bytes, sha256(lines) AS sha256 FROM (
+         SELECT string_agg(c_name || chr(10), '' ORDER BY c_name) AS lines
+         FROM customer GROUP BY c_nationkey)""",
 }

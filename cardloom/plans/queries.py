@@ -135,6 +135,15 @@ def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.file_checksums(spark, sf_dir, "*.parquet")
 
 
+def written_file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and SHA-256 of one text file per nation, which lists its customers by name."""
+    root = scratch_path(spark, "listings")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", "c_name")
+    files = customers.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_name")
+    files.write.partitionBy("c_nationkey").text(root)
+    return ingest.file_checksums(spark, root, "*.txt").select("file_bytes", "sha256")
+
+
 def validate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = demo_cards(spark, sf_dir)
     enriched = enriched_cards(cards)
@@ -584,6 +593,45 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.assign_clusters(features, model)
 
 
+def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every embedding row was assigned to a centre that is nearest to it."""
+    scores, _ = _embeddings(spark, sf_dir)
+    features = clustering.unit_vectors(scores)
+    config = clustering.ClusterConfig(n_clusters=10, n_init=3)
+    model, _ = clustering.fit_kmeans(features, config)
+    centers = F.array(*[F.array(*map(F.lit, c.tolist())) for c in model.clusterCenters()])
+    gaps = F.transform(
+        centers,
+        lambda c: F.aggregate(
+            F.zip_with(c, "row", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x
+        ),
+    )
+    rows = normalize_scores(scores).select("id", F.col("scores").alias("row"))
+    return (
+        clustering.assign_clusters(features, model)
+        .join(rows, "id")
+        .withColumn("gaps", gaps)
+        .select("id", (F.get("gaps", "cluster") <= F.array_min("gaps") + 1e-9).alias("nearest"))
+    )
+
+
+def svd_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared lengths of the embedding rows after a full-rank SVD, which keeps them."""
+    scores, _ = _embeddings(spark, sf_dir)
+    rows = stored(
+        scores.select(
+            "id",
+            F.sequence(F.lit(0), F.size("scores") - 1).alias("indices"),
+            F.col("scores").cast("array<double>").alias("weights"),
+        ),
+        "rows",
+    )
+    width = rows.agg(F.max(F.size("weights"))).first()[0]
+    projected = project_rows(rows, fit_svd(ml_vectors(rows, width), width))
+    squares = F.aggregate("scores", F.lit(0.0), lambda acc, x: acc + x * x)
+    return projected.select("id", F.round(squares, 6).alias("squared_length"))
+
+
 def svd_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, weights = fit_transform(docs)
@@ -634,6 +682,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parquet_round_trip": parquet_round_trip,
     "manifest_lookup": manifest_lookup,
     "file_checksums": file_checksums,
+    "written_file_checksums": written_file_checksums,
     "validate_outputs": validate_outputs,
     "missing_outputs": missing_outputs,
     "normalize_text": normalize_text,
@@ -694,6 +743,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_representatives": cluster_representatives,
     "unit_rows": unit_rows,
     "kmeans_clusters": kmeans_clusters,
+    "kmeans_nearest": kmeans_nearest,
+    "svd_lengths": svd_lengths,
     "svd_project": svd_project,
     "projection_2d": projection_points,
     "cluster_report": full_cluster_report,
