@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released
+from .common import released, written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # Bytes of item text per automaton: bounds what is broadcast and held by a task.
@@ -177,28 +177,74 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, cutt
     ids cover words but are not listed). ``clean`` is the text without the spans, if there
     are any and ``cutting`` asks for it, else null. ``row`` holds the input row, so extra columns may
     have any names. Items are split by hash into blocks of at most about 2 MB of text, one
-    automaton each, through which the documents stream one after another. Null texts and
-    items have no words.
+    automaton each; with several, the texts are written once and pass through one block
+    after another, so that a task holds one automaton. Null texts and items have no words.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, ceil(2 * size / BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    state = docs.select(
-        F.struct("*").alias("row"),
-        F.expr("cast(array() as array<array<bigint>>)").alias("spans"),
-        F.expr("cast(array() as array<bigint>)").alias("items"),
-    )
+    if blocks == 1:
+        state = docs.select(F.struct("*").alias("row"), *_nothing_found())
+        last = items
+    else:
+        state, last = _hits_of_blocks(docs, items, blocks, window), items.limit(0)
     schema = T.StructType([
         state.schema["row"], T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.LongType())),
         T.StructField("clean", T.StringType()),
     ])
+    return state.mapInArrow(_scanner(_shared(last), window, cutting), schema)
+
+
+def _nothing_found() -> list:
+    return [F.expr("cast(array() as array<array<bigint>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items")]
+
+
+def _shared(items: DataFrame):
+    """The items of one block (its size is bounded) for all tasks."""
+    return items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+
+
+def _finder(items, window: int):
+    """(number, spans, items) of the rows (number, text) in which a block's windows occur."""
+
+    def find(batches):
+        automaton = Automaton(items.value, window)
+        for batch in released(batches):
+            numbers, spans, found = [], [], []
+            for number, text in zip(batch.column(0), batch.column(1)):
+                covered, ids = automaton.scan(_words(text.as_py()))
+                if covered:
+                    numbers.append(number.as_py())
+                    spans.append(covered)
+                    found.append(sorted(x for x in ids if x is not None))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                 pa.array(found, pa.list_(pa.int64()))],
+                names=["number", "spans", "items"],
+            )
+
+    return find
+
+
+def _hits_of_blocks(docs: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """(row, spans, items) of all blocks: one pass and one automaton at a time."""
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
+    texts = numbered.select("number", F.col("row.text").cast("string").alias("text"))
+    hits = None
     for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows.collect()])
-        state = state.mapInArrow(_scanner(shared, window, cutting and k == blocks - 1), schema)
-    return state
+        shared = _shared(items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k))
+        found = texts.mapInArrow(_finder(shared, window), "number long, spans array<array<long>>, items array<long>")
+        part = written(found, "block-hits")
+        shared.unpersist()
+        hits = part if hits is None else hits.union(part)
+    per_row = hits.groupBy("number").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+    )
+    spans, found = _nothing_found()
+    return numbered.join(per_row, "number", "left").select(
+        "row", F.coalesce("spans", spans).alias("spans"), F.coalesce("items", found).alias("items")
+    )
 
 
 def judged(hits: DataFrame, share: int = 20) -> DataFrame:

@@ -149,12 +149,21 @@ def test_decontaminate(spark, random_docs):
     assert decontaminate.cut("A, b (c) d!", [[1, 3]]) == "A, ) d!"
 
 
-def test_benchmark_in_blocks(spark, random_docs, monkeypatch):
+def test_benchmark_in_blocks(spark, random_docs, odd, monkeypatch):
     docs = spark.createDataFrame(random_docs, "doc_id long, text string")
-    items = spark.createDataFrame([(k, t) for k, t in random_docs[:20]], "item_id long, text string")
-    whole = sorted(map(tuple, decontaminate.contamination(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 600)
-    assert sorted(map(tuple, decontaminate.contamination(docs, items).collect())) == whole
+    items = spark.createDataFrame([*[(k, t) for k, t in random_docs[:20]], (None, "ab cd"), (900, None)], "item_id long, text string")
+
+    def results():
+        cut = decontaminate.benchmark_hits(docs, items, cutting=True).select("row.*", "spans", "clean")
+        return [
+            sorted(map(str, out.collect()))
+            for out in (cut, decontaminate.contamination(docs, items), decontaminate.contamination(odd, items))
+        ]
+
+    whole = results()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
+    assert results() == whole
+    assert decontaminate.decontaminate(odd.limit(0), items).count() == 0
 
 
 def test_substring_dedup(spark, random_docs):
