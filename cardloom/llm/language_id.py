@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,6 @@ from .common import chunks, released
 ORDER = 3  # longest context, in bytes
 UNKNOWN = "und"
 SALTS = 256  # parts in which a language's rows are ranked before they meet
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _symbols() -> np.ndarray:
@@ -182,7 +180,7 @@ def _predictor(shared):
                 ascii_letter = np.concatenate(([0], np.cumsum((SYMBOLS[data] > 0) & (data < 128))))
                 plain = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
                 for k, row in enumerate(lengths):
-                    known = len(row) and (plain[k] or _LETTER.search(texts[first + k].as_py() or ""))
+                    known = len(row) and (plain[k] or any(map(str.isalpha, texts[first + k].as_py() or "")))
                     if not known:
                         langs.append(UNKNOWN), scores.append(0.0), bits.append(uniform)
                         continue
