@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 6000
+QUERY_ROWS = 6000
 
 
 def _search(graph: np.ndarray, base: np.ndarray, entry: int, queries: np.ndarray, beam: int, wide: int = 4):
@@ -118,25 +121,42 @@ def _matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else np.zeros((0, 0), dtype)
 
 
-def _shard(take: int, degree: int, beam: int, relax: float, batch: int = 128):
-    """Index one shard and search it for all queries: the ``take`` nearest of each."""
+def _index_shard(degree: int, beam: int, relax: float):
+    """One shard as one row: vectors and graph as bytes, keys, and the smallest ids."""
+
+    def index(base: pa.Table) -> pa.Table:
+        exact = _matrix(base["vector"], np.float64)
+        graph, entry = build_graph(exact.astype(np.float32), degree, beam, relax)
+        return pa.table({
+            "dim": base["dim"][:1], "shard": base["shard"][:1], "entry": pa.array([entry], pa.int64()),
+            "vectors": pa.array([exact.tobytes()], pa.binary()),
+            "graph": pa.array([graph.astype(np.int32).tobytes()], pa.binary()),
+            "keys": pa.array([base["key"].to_pylist()], pa.list_(pa.string())),
+            "leasts": pa.array([base["least"].to_pylist()], pa.list_(pa.int64())),
+        })
+
+    return index
 
-    def search(base: pa.Table, queries: pa.Table) -> pa.Table:
-        exact, wanted = _matrix(base["vector"], np.float64), _matrix(queries["vector"], np.float64)
-        names, owners = base["least"].to_numpy(), queries["query"].to_pylist()
+
+def _search_block(take: int, degree: int, beam: int, batch: int = 128):
+    """Search one indexed shard for one block of queries: the ``take`` nearest of each."""
+
+    def search(shard: pa.Table, queries: pa.Table) -> pa.Table:
         out_query, out_key, out_dist = [], [], []
-        if len(exact) and len(wanted):
-            small = exact.astype(np.float32)
-            graph, entry = build_graph(small, degree, beam, relax)
-            keys = base["key"].to_pylist()
+        if len(shard) and len(queries):
+            row = {c: shard[c][0].as_py() for c in ("dim", "entry", "vectors", "graph", "keys", "leasts")}
+            exact = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+            graph = np.frombuffer(row["graph"], np.int32).reshape(-1, degree).astype(np.int64)
+            small, names, keys = exact.astype(np.float32), np.array(row["leasts"]), row["keys"]
+            wanted, owners = _matrix(queries["vector"], np.float64), queries["query"].to_pylist()
             for at in range(0, len(wanted), batch):
-                ids, _ = _search(graph, small, entry, wanted[at : at + batch].astype(np.float32), beam)
-                for k, row in enumerate(ids):
-                    row = row[row >= 0]
-                    dist = np.sqrt(((exact[row] - wanted[at + k]) ** 2).sum(1))
-                    best = np.lexsort((names[row], dist))[:take]
+                ids, _ = _search(graph, small, row["entry"], wanted[at : at + batch].astype(np.float32), beam)
+                for k, near in enumerate(ids):
+                    near = near[near >= 0]
+                    dist = np.sqrt(((exact[near] - wanted[at + k]) ** 2).sum(1))
+                    best = np.lexsort((names[near], dist))[:take]
                     out_query += [owners[at + k]] * len(best)
-                    out_key += [keys[i] for i in row[best]]
+                    out_key += [keys[i] for i in near[best]]
                     out_dist.append(dist[best])
         dist = np.concatenate(out_dist) if out_dist else np.zeros(0)
         return pa.table({
@@ -148,7 +168,7 @@ def _shard(take: int, degree: int, beam: int, relax: float, batch: int = 128):
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = 32, beam: int = 96, relax: float = 1.2,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every query row.
 
@@ -160,7 +180,9 @@ def nearest(
 
     Equal vectors are indexed once, with the k + 1 smallest ids they have, which is all
     that a result can show. Every distinct vector is in the graph of one shard (dealt by
-    hash, about ``shard_rows`` each); distinct query vectors search every shard.
+    hash, about ``shard_rows`` each). Graphs are built once and written, one row a shard.
+    Distinct query vectors are dealt into blocks of about ``query_rows``, and every block
+    searches every shard: a task holds one shard and one block, however many there are.
     """
     from .common import written
 
@@ -183,13 +205,26 @@ def nearest(
     asked = written(usable(queries), "queries")
     distinct = asked.dropDuplicates(["key"]).select(F.col("key").alias("query"), "vector")
     shards = max(1, round(base.count() / shard_rows))
+    blocks = max(1, ceil(asked.select("key").distinct().count() / query_rows))
     dim = F.size("vector").alias("dim")
     dealt = base.select(
         dim, F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", F.col("ids")[0].alias("least"), "vector"
     )
-    everywhere = distinct.select(dim, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query", "vector")
-    found = dealt.groupBy("dim", "shard").cogroup(everywhere.groupBy("dim", "shard")).applyInArrow(
-        _shard(k + 1, degree, beam, relax), "query string, key string, score double"
+    index = written(
+        dealt.groupBy("dim", "shard").applyInArrow(
+            _index_shard(degree, beam, relax),
+            "dim int, shard int, entry long, vectors binary, graph binary, keys array<string>, leasts array<long>",
+        ),
+        "graphs",
+    )
+    each_block = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    each_shard = distinct.select(
+        dim, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+        F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), "query", "vector",
+    )
+    pair = ["dim", "shard", "block"]
+    found = each_block.groupBy(*pair).cogroup(each_shard.groupBy(*pair)).applyInArrow(
+        _search_block(k + 1, degree, beam), "query string, key string, score double"
     )
     found = found.join(base.select("key", "ids"), "key")
     nearby = F.row_number().over(Window.partitionBy("query").orderBy("score", F.col("ids")[0]))

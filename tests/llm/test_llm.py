@@ -208,7 +208,7 @@ def test_ann_recall_and_edges(spark):
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)]
     bad = [(5000, None), (5100, [0.0] * 8), (5200, [1.0, None] * 4), (5300, [float("nan")] * 8), (5400, [1.0, 2.0]), (None, [1.0] * 8)]
     frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
-    got = ann.nearest(frame, frame.filter("vec_id % 100 = 0"), shard_rows=500).toPandas()
+    got = ann.nearest(frame, frame.filter("vec_id % 100 = 0"), shard_rows=500, query_rows=7).toPandas()
     assert set(got.query_id) == {*range(0, 1500, 100)}
     exact, hits = base.astype(np.float64), 0
     for q, part in got.groupby("query_id"):
