@@ -30,7 +30,14 @@ from cardloom.operators.text_tables import enriched_cards, oracle_tokens, type_f
 from cardloom.operators.tfidf import TfidfConfig, all_rows, fit_tfidf, tfidf_weights
 from cardloom.session import stored
 from cardloom.sources.ingest import require_outputs
-from cardloom.sources.tables import load_vectors, read_table, save_vectors, write_table
+from cardloom.sources.tables import (
+    load_postings,
+    load_vectors,
+    read_table,
+    save_postings,
+    save_vectors,
+    write_table,
+)
 
 
 @dataclass(frozen=True)
@@ -56,6 +63,7 @@ def build_vectors(spark: SparkSession, out: str, config: BuildConfig = BuildConf
     cards = require_columns(read_table(spark, f"{out}/cards_enriched"), ["oracle_text_norm"])
     model = fit_tfidf(cards, config.tfidf, "oracle_text_norm")
     save_vectors(model, tfidf_weights(cards, model, "oracle_text_norm"), cards, f"{out}/vectors")
+    save_postings(read_table(spark, f"{out}/vectors/weights"), f"{out}/vectors/postings")
 
 
 def build_clusters(spark: SparkSession, out: str, config: BuildConfig = BuildConfig()) -> None:
@@ -107,7 +115,9 @@ def find_similar(spark: SparkSession, out: str, name: str, k: int = 10) -> DataF
     cards = read_table(spark, f"{out}/cards_enriched")
     _, weights, ids = load_vectors(spark, f"{out}/vectors")
     query = first_match(cards, name).first()["id"]
-    near = nearest_to_one(weights, ids, query, k)
+    near = nearest_to_one(
+        weights, ids, query, k, postings=lambda terms: load_postings(spark, f"{out}/vectors/postings", terms)
+    )
     return show_neighbors(near, cards, "name", "type_line").select(
         "id", "score", "rank", "name", "type_line"
     )

@@ -25,6 +25,10 @@ CARD_SCHEMA = T.StructType(
     + [T.StructField(c, T.StringType()) for c in ("power", "toughness")]
 )
 
+# Folders of stored postings: their usual size, and how many there may be.
+PART_ROWS = 1_000_000
+MOST_PARTS = 4096
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,6 +69,35 @@ def save_vectors(model: TfidfModel, weights: DataFrame, ids: DataFrame, path: st
     write_table(ids.select("id"), f"{path}/row_ids")
 
 
+def save_postings(weights: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
+    """``weights`` (a stored table) again, dealt into folders by term.
+
+    Folders hold about ``part_rows`` rows each, or are at most ``MOST_PARTS``; a query
+    reads those of its own terms. Larger folders are written by several tasks, split by id,
+    so that a frequent term is not one task's work.
+    """
+    n = weights.count()
+    parts = min(MOST_PARTS, max(1, n // part_rows))
+    split = max(1, n // (parts * part_rows))
+    dealt = weights.select(
+        "id", "term_idx", "weight", F.lit(parts).alias("parts"), F.pmod("term_idx", F.lit(parts)).alias("part")
+    )
+    if parts * split > 1:
+        dealt = dealt.repartition(parts * split, "part", F.pmod(F.xxhash64("id"), F.lit(split)))
+    dealt.sortWithinPartitions("part", "term_idx").write.mode("overwrite").partitionBy("parts", "part").parquet(path)
+
+
+def load_postings(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
+    """The stored postings in the folders of ``terms`` (term_idx, those of one document)."""
+    postings = read_table(spark, path)
+    written_as = postings.select("parts").first()
+    if written_as is None:
+        return postings
+    part = F.pmod("term_idx", F.lit(written_as["parts"])).alias("part")
+    wanted = [r["part"] for r in terms.select(part).distinct().collect()]  # MOST_PARTS at most
+    return postings.filter(F.col("part").isin(wanted))
+
+
 def load_vectors(
     spark: SparkSession, path: str, config: TfidfConfig = TfidfConfig()
 ) -> tuple[TfidfModel, DataFrame, DataFrame]:
