@@ -63,8 +63,9 @@ def _joined(column, dtype) -> np.ndarray:
 
 
 def _anchor_rows(window: int, anchor: int, buckets: int, blocks: int):
-    """Anchors of every text, dealt by hash. What a batch already shows to be in two
-    documents goes straight to their blocks, with one entry left for the bucket."""
+    """Anchors of every text, dealt by hash, with one of their places in each document:
+    the blocks find the others by hash. What a batch already shows to be in two documents
+    goes straight to their blocks, with one entry left for the bucket."""
 
     def rows(batches):
         for batch in released(batches):
@@ -82,6 +83,9 @@ def _anchor_rows(window: int, anchor: int, buckets: int, blocks: int):
             keys, docs, places = (np.concatenate(x) for x in (keys, docs, places))
             order = np.lexsort((docs, keys))
             keys, docs, places = keys[order], docs[order], places[order]
+            one = np.ones(len(keys), dtype=bool)
+            one[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+            keys, docs, places = keys[one], docs[one], places[one]
             head = np.ones(len(keys), dtype=bool)
             head[1:] = keys[1:] != keys[:-1]
             group = np.cumsum(head) - 1
@@ -104,7 +108,7 @@ def _anchor_rows(window: int, anchor: int, buckets: int, blocks: int):
 
 
 def _shared_anchors(blocks: int):
-    """Places of anchors that two documents have, dealt to the documents' blocks."""
+    """A place in each document of anchors that two have, dealt to the documents' blocks."""
 
     def shared(table: pa.Table) -> pa.Table:
         docs, places = _joined(table["docs"], np.int64), _joined(table["places"], np.uint32)
@@ -131,8 +135,9 @@ def _texts_with(table: pa.Table, found: np.ndarray):
 
 
 def _passage_rows(window: int, anchor: int, buckets: int, blocks: int):
-    """Windows around shared anchors. Of equal windows in a block the one in the smallest
-    document is sent to the reference block of its anchor; the others are found here."""
+    """Windows around shared anchors, wherever in a text these stand. Of equal windows in a
+    block those in the smallest document are sent to the reference block of their anchor;
+    the others are found here."""
 
     def rows(table: pa.Table, shared: pa.Table) -> pa.Table:
         docs, places = _joined(shared["docs"], np.int64), _joined(shared["places"], np.uint32)
@@ -145,11 +150,13 @@ def _passage_rows(window: int, anchor: int, buckets: int, blocks: int):
             ok, hashes, position, grams, first = _windows(data, offsets, window, anchor)
             at = np.flatnonzero(ok)
             text = np.searchsorted(first, at, side="right") - 1
-            wanted = np.zeros(len(grams) + 1, dtype=bool)
+            mine = []
             for k in range(len(offsets) - 1):
                 lo, hi = np.searchsorted(docs, g[row + k]), np.searchsorted(docs, g[row + k], side="right")
-                mine = places[lo:hi] + first[k]
-                wanted[mine[mine < len(grams)]] = True
+                mine.append(places[lo:hi] + first[k])
+            anchors = np.unique(position[at])
+            wanted = np.zeros(len(grams) + 1, dtype=bool)
+            wanted[anchors[np.isin(grams[anchors], grams[np.concatenate(mine)])]] = True
             near = wanted[position[at]]
             at, text = at[near], text[near]
             bucket = (grams[position[at]] % np.uint64(buckets)).astype(np.int64)

@@ -180,6 +180,31 @@ def test_substring_dedup(spark, random_docs):
         assert got[i].kept_text == " ".join(x for k, x in enumerate(w) if k not in gone) and got[i].n_removed == len(gone)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 10_000])
+def test_substring_dedup_with_repeats_in_a_document(spark, batch):
+    """Passages and anchors that one document holds several times, its twin in another batch."""
+    rng = random.Random(batch)
+    fresh = lambda n: [f"n{rng.getrandbits(40)}" for _ in range(n)]
+    passages, anchor = [fresh(20) for _ in range(4)], ["five", "words", "in", "many", "contexts"]
+    contexts = [fresh(8) + anchor + fresh(8) for _ in range(12)]
+    docs = [(0, fresh(9) + passages[0] + fresh(9)), (1, fresh(9) + passages[0] + fresh(7) + passages[0] * 2),
+            (2, [w for c in contexts for w in c + fresh(3)]), *[(3 + k, fresh(4) + c + fresh(4)) for k, c in enumerate(contexts)]]
+    docs += [(20 + k, [w for _ in range(6) for w in (rng.choice(passages + contexts) + fresh(rng.randint(0, 3)))]) for k in range(20)]
+    first = {}
+    for i, w in docs:
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(7)
+        got = {r.doc_id: r.kept_text for r in substring_dedup.dedup_passages(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, w in docs:
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)}
+        assert got[i] == " ".join(x for k, x in enumerate(w) if k not in gone), i
+
+
 def test_mix_targets_and_pieces(spark):
     rows = [(k, f"s{k % 7}" if k % 7 else None, (k * 37) % 90) for k in range(300)]
     frame = spark.createDataFrame(rows, "doc_id long, source string, size long")
