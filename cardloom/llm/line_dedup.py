@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters whose counts bound the edit distance from below; any letters would be right.
-COUNTED = "etanirso"
+COUNTED = "etanirs"
 # Lines in question that are broadcast to find their texts (about 50 bytes each); more of
 # them are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+OWN_PLACE = -(1 << 63)  # marks a segment that stands at its own place
 
 
 def _lines(docs: DataFrame, min_chars: int, *more: str) -> DataFrame:
@@ -23,58 +24,54 @@ def _lines(docs: DataFrame, min_chars: int, *more: str) -> DataFrame:
     )
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line of ``length`` characters."""
-    parts = edits + 1
-    short = F.floor(length / parts)
-    first_long = parts - (length - short * parts)
-    start = short * i + F.greatest(F.lit(0), F.lit(i) - first_long)
-    return start, short + F.when(F.lit(i) >= first_long, 1).otherwise(0)
+def _base(length: Column, edits: int) -> Column:
+    """The least length of a band of lengths that share segments; a band is at least
+    ``edits`` wide, so two bands at most hold the lengths from ``length`` - edits on."""
+    least = max(4, 1 << (edits - 1).bit_length())
+    width = F.when(length < 32, least).when(length < 256, max(8, least)).otherwise(max(32, least))
+    return length - length % width
 
 
-def _index_keys(edits: int) -> list[Column]:
-    n, keys = F.col("n"), []
-    for i in range(edits + 1):
-        start, size = _segment(n, i, edits)
-        keys.append(F.xxhash64(F.lit(i), n, F.substring("norm", start + 1, size)))
-    return keys
-
-
-def _probe_keys(edits: int) -> list[Column]:
-    """Keys of every substring that can equal a segment of a line shorter by 0 to ``edits``.
+def _keys(base: Column, edits: int) -> list[tuple[bool, Column]]:
+    """(whether it stands at its own place, key) of the segments of lines from ``base`` on.
 
-    A segment can only have moved by the edits to its left, and by the length difference
-    up to the edits to its right; other positions cannot be needed.
+    Of edits + 1 segments that do not overlap, some segment i is kept with exactly i edits
+    to its left and edits - i at most to its right, wherever the edits are. So those of the
+    first half have moved by i at most, counted from the start of the line, and those of
+    the second half by edits - i at most, counted from its end.
     """
-    keys = []
-    for less in range(edits + 1):
-        length = F.col("n") - less
-        for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
-            right = edits - i
-            for moved in range(max(-i, less - right), min(i, less + right) + 1):
-                at = start + moved
-                fits = (at >= 0) & (at + size <= F.col("n")) & (length >= edits + 1)
-                keys.append(F.when(fits, F.xxhash64(F.lit(i), length, F.substring("norm", at + 1, size))))
+    n, parts, keys = F.col("n"), edits + 1, []
+    size = F.floor(base / parts)
+    for i in range(parts):
+        reach = min(i, edits - i)
+        start = size * i if 2 * i <= edits else n - size * (parts - i)
+        for moved in range(-reach, reach + 1):
+            at = start + moved
+            fits = (at >= 0) & (at + size <= n)
+            keys.append((moved == 0, F.when(fits, F.xxhash64(F.lit(i), base, F.substring("norm", at + 1, size)))))
     return keys
 
 
 def _letter_counts() -> Column:
-    """The counts of eight letters, modulo 256, in the bytes of a long."""
-    packed = F.lit(0).cast("long")
+    """The counts of seven letters, modulo 256, and the length, modulo 128, in a long."""
+    packed = F.shiftleft((F.col("n") % 128).cast("long"), 56)
     for k, letter in enumerate(COUNTED):
         count = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(letter), F.lit("")))
         packed = packed.bitwiseOR(F.shiftleft((count % 256).cast("long"), 8 * k))
     return packed
 
 
-def _letters_apart(left: Column, right: Column) -> Column:
+def _gap(left: Column, right: Column, place: int, size: int) -> Column:
+    a, b = (F.shiftrightunsigned(x, place).bitwiseAND(F.lit(size - 1)) for x in (left, right))
+    gap = F.abs(a - b)
+    return F.least(gap, F.lit(size) - gap)
+
+
+def _may_be_near(left: Column, right: Column, edits: int) -> Column:
     total = F.lit(0).cast("long")
     for k in range(len(COUNTED)):
-        a, b = (F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) for x in (left, right))
-        gap = F.abs(a - b)
-        total = total + F.least(gap, F.lit(256) - gap)
-    return total
+        total = total + _gap(left, right, 8 * k, 256)
+    return (_gap(left, right, 56, 128) <= edits) & (total <= 2 * edits)
 
 
 def edit_distance_within(left: str, right: str, edits: int) -> str:
@@ -119,7 +116,7 @@ def _if_small(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if (rows or 0) <= BROADCAST_ROWS else df
 
 
-def removals(docs: DataFrame, min_chars: int = 20, edits: int = 1) -> DataFrame:
+def removals(docs: DataFrame, min_chars: int = 20, edits: int = 2) -> DataFrame:
     """(id, h, drop): the positions of the lines to remove, per document that has any.
 
     ``docs`` has id, h (hash of the text) and text.
@@ -130,25 +127,33 @@ def removals(docs: DataFrame, min_chars: int = 20, edits: int = 1) -> DataFrame:
     seen = written(_lines(docs, min_chars).withColumn("at", order), "lines")
     first = seen.groupBy("a", "b").agg(F.min("at").alias("first"))
 
-    keys = {f"i{k}": x for k, x in enumerate(_index_keys(edits))} | {f"p{k}": x for k, x in enumerate(_probe_keys(edits))}
+    # A line has the keys of its own band, and of the next shorter one if lines within
+    # ``edits`` are in it. One of two near lines shows a segment at its own place.
+    n = F.col("n")
+    own, shorter = _base(n, edits), _base(n - edits, edits)
+    below = F.when((n >= edits) & (shorter < own), shorter)
+    keys = [*_keys(own, edits), *[(False, key) for _, key in _keys(below, edits)]]
+    names = [f"k{k}" for k in range(len(keys))]
     keyed = (
         _lines(docs, min_chars, "norm")
         .withColumn("n", F.char_length("norm"))
-        .select("a", "b", _letter_counts().alias("letters"), *[x.alias(name) for name, x in keys.items()])
+        .select("a", "b", _letter_counts().alias("letters"), *[x.alias(name) for name, (_, x) in zip(names, keys)])
         .groupBy("a", "b")
-        .agg(*[F.first(name).alias(name) for name in ("letters", *keys)])
-    )
-    index = keyed.select(
-        F.explode(F.array(*[x for x in keys if x[0] == "i"])).alias("key"), F.col("a").alias("oa"), F.col("letters").alias("others")
+        .agg(*[F.first(name).alias(name) for name in ("letters", *names)])
     )
-    probe = keyed.select(F.explode(F.array_compact(F.array(*[x for x in keys if x[0] == "p"]))).alias("key"), "a", "letters")
+    letters = {True: F.col("letters").bitwiseOR(F.lit(OWN_PLACE)), False: F.col("letters")}
+    rows = keyed.select(
+        "a", F.inline(F.array(*[F.struct(F.col(x).alias("key"), letters[at].alias("seen")) for x, (at, _) in zip(names, keys)]))
+    ).filter("key is not null")
+    # Both sides are the same rows, so that they are shuffled once.
+    left, right = rows, rows.select(F.col("key").alias("okey"), F.col("a").alias("oa"), F.col("seen").alias("others"))
     pairs = (
-        probe.join(
-            index,
-            (probe.key == index.key) & (F.col("a") != F.col("oa"))
-            & (_letters_apart(F.col("letters"), F.col("others")) <= 2 * edits),
+        left.join(
+            right,
+            (F.col("key") == F.col("okey")) & (F.col("a") < F.col("oa")) & (F.least("seen", "others") < 0)
+            & _may_be_near(F.col("seen"), F.col("others"), edits),
         )
-        .select(F.least("a", "oa").alias("x"), F.greatest("a", "oa").alias("y"))
+        .select(F.col("a").alias("x"), F.col("oa").alias("y"))
         .distinct()
     )
     pairs = written(pairs, "line-pairs")
@@ -179,7 +184,7 @@ def removals(docs: DataFrame, min_chars: int = 20, edits: int = 1) -> DataFrame:
     return copies.union(similar).groupBy("id", "h").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, edits: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, edits: int = 2) -> DataFrame:
     """(row, kept_lines, n_removed) for every row of ``docs`` (doc_id, text, ...).
 
     Lines end at newlines and are compared trimmed and in lower case. A line of at least

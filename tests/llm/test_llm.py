@@ -128,6 +128,15 @@ def test_line_dedup(spark):
         assert got == kept
 
 
+def test_line_dedup_query_and_stage_take_two_edits(spark, tmp_path):
+    text = ["Order 12 was shipped on a Monday", "Order 34 was shipped on a Monday", "Order 3456 was sent on a Monday"]
+    spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_removed for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(text)])
+    assert {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, SF_DIR).collect()} == {0: text[0], 1: "", 2: text[2]}
+
+
 def test_decontaminate(spark, random_docs):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     items = [(k, " ".join(t.split()[k : k + 9 + k % 20])) for k, (_, t) in enumerate(random_docs) if t.split()[k:]]
