@@ -27,6 +27,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_key(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, which says in ``count`` how many rows each entry stands for.
+
+    Keys with an entry of over a thousandth of all ``total`` rows, so a thousand at most, are
+    broadcast with all their entries; the others are shuffled. ``keys`` are not null; a key
+    has one entry, or one per text whose hashes collide.
+    """
+    hot = table.filter(F.col(count) * 1000 > total).select(*keys).distinct()
+    few = F.broadcast(table.join(F.broadcast(hot), keys, "left_semi"))
+    cold = rows.join(F.broadcast(hot), keys, "left_anti")
+    rest = table.join(F.broadcast(hot), keys, "left_anti")
+    return rows.join(few, keys).unionByName(cold.join(rest, keys, how))
+
+
 def text_megabytes(docs: DataFrame) -> float:
     """Size of all texts, by which the number of hash buckets grows."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n

@@ -9,6 +9,9 @@ from . import (
     ann,
     chat,
     decontaminate,
+    exact_dedup,
+    fill_in_middle,
+    filter_audit,
     language_id,
     licenses,
     line_dedup,
@@ -89,6 +92,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(read_documents(spark, sf_dir).select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit_filters(read_documents(spark, sf_dir), labels)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -100,6 +121,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 # SQL for DuckDB. Words are split at ASCII white space; runs of 13 words are compared as text.
@@ -198,4 +222,77 @@ ORACLE_SQL: dict[str, str] = {
             coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        h AS (
+            SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || s[1:8])::BIGINT % (length(t) + 1) AS a,
+                ('0x' || s[9:16])::BIGINT % (length(t) + 1) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                    OR ('0x' || s[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                    WHEN ('0x' || s[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d),
+        c AS (
+            SELECT doc_id, t, n, form, substring(t, 1, least(a, b)) AS p, greatest(a, b) - least(a, b) AS m,
+                substring(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS mid,
+                substring(t, greatest(a, b) + 1) AS s
+            FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN m::BIGINT END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || mid
+                ELSE '<S>' || s || '<P>' || p || '<M>' || mid END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM c""",
+    "op12_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, length(coalesce(text, '')) AS chars,
+                regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+        g AS (
+            SELECT *, first_value(doc_id) OVER best AS keep_id, row_number() OVER best = 1 AS kept,
+                count(*) OVER (PARTITION BY t)::BIGINT AS group_size
+            FROM d WINDOW best AS (PARTITION BY t ORDER BY chars DESC, doc_id NULLS LAST))
+        SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM g""",
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        first AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+        l AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        m AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+                'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+                'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t),
+                'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > first, false)} AS f
+            FROM d JOIN first USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+        masks AS (
+            SELECT part, (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END)
+                || (CASE WHEN f.C THEN 'C' ELSE '' END) || (CASE WHEN f.D THEN 'D' ELSE '' END)
+                || (CASE WHEN f.E THEN 'E' ELSE '' END) AS failed, count(*) AS n,
+                count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM m GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (
+            SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS earlier
+            FROM orders, unnest(range(1, 6)) AS t(step)),
+        judged AS (
+            SELECT *, contains(failed, x) AS fails,
+                earlier <> '' AND len(list_intersect(string_split(failed, ''), string_split(earlier, ''))) > 0 AS gone
+            FROM masks, steps),
+        report AS (
+            SELECT part, filter_order, step, x,
+                coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept,
+                coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
+                coalesce(sum(n) FILTER (failed = x), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost,
+                coalesce(sum(toxic) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost
+            FROM judged GROUP BY ALL)
+        SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+        FROM report""",
 }
