@@ -150,8 +150,9 @@ def test_directory_splits_overfull_buckets_only(spark):
     placed = keys.withColumn("cell", exact_dedup._prefix(bits)).join(cells, "cell")
     sizes = {r.bucket: r["count"] for r in placed.groupBy("bucket").count().collect()}
     assert sum(sizes.values()) == 4000 and max(sizes.values()) <= 100
-    widths = {r.bucket: r["count"] for r in cells.groupBy("bucket").count().collect()}
-    assert len(set(widths.values())) > 1 and all(x.bit_count() == 1 for x in [max(widths.values())])
+    # Buckets in thin ranges keep their width: several entries point to one.
+    widths = [r["count"] for r in cells.groupBy("bucket").count().collect()]
+    assert min(widths) == 1 and max(widths) > 8
 
 
 def brute_audit(data, labels):
