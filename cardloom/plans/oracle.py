@@ -590,6 +590,18 @@ ORACLE_SQL: dict[str, str] = {
     "kmeans_nearest": _with(_MEMBERS) + "SELECT DISTINCT id, true AS nearest FROM dims",
     "svd_lengths": _with(_MEMBERS)
     + "SELECT id, round(sum(x * x), 6) AS squared_length FROM dims GROUP BY id",
+    "svd_gram": _with(_MEMBERS)
+    + """SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(sum(a.x * b.x), 4) + 0.0 AS value
+         FROM dims a JOIN dims b ON a.id = b.id GROUP BY a.dim, b.dim""",
+    # Traces of powers of the matrix of products, over the trace itself.
+    "svd_values": _with(
+        _MEMBERS,
+        "g AS (SELECT a.dim AS i, b.dim AS j, sum(a.x * b.x) AS v FROM dims a JOIN dims b ON a.id = b.id GROUP BY a.dim, b.dim)",
+        "t AS (SELECT sum(v) AS t FROM g WHERE i = j)",
+        "g2 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY a.i, b.j)",
+    )
+    + """SELECT 2 AS power, round((SELECT sum(v) FROM g2 WHERE i = j) / t ** 2, 8) AS share FROM t
+         UNION ALL SELECT 3, round((SELECT sum(g.v * g2.v) FROM g JOIN g2 ON g.j = g2.i AND g2.j = g.i) / t ** 3, 8) FROM t""",
     "written_file_checksums": """SELECT strlen(lines)::BIGINT AS file_bytes, sha256(lines) AS sha256 FROM (
          SELECT string_agg(c_name || chr(10), '' ORDER BY c_name) AS lines
          FROM customer GROUP BY c_nationkey)""",

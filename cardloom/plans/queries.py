@@ -23,6 +23,7 @@ from cardloom.operators.neighbors import (
     show_neighbors,
 )
 from cardloom.operators.reduction import (
+    SvdModel,
     fit_svd,
     ml_vectors,
     normalize_scores,
@@ -615,8 +616,8 @@ def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def svd_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squared lengths of the embedding rows after a full-rank SVD, which keeps them."""
+def _whole_svd(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SvdModel]:
+    """The embedding rows in sparse form and their decomposition in all dimensions."""
     scores, _ = _embeddings(spark, sf_dir)
     rows = stored(
         scores.select(
@@ -627,11 +628,40 @@ def svd_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rows",
     )
     width = rows.agg(F.max(F.size("weights"))).first()[0]
-    projected = project_rows(rows, fit_svd(ml_vectors(rows, width), width))
+    return rows, fit_svd(ml_vectors(rows, width), width)
+
+
+def svd_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared lengths of the embedding rows after a full-rank SVD, which keeps them."""
+    projected = project_rows(*_whole_svd(spark, sf_dir))
     squares = F.aggregate("scores", F.lit(0.0), lambda acc, x: acc + x * x)
     return projected.select("id", F.round(squares, 6).alias("squared_length"))
 
 
+def svd_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of the embedding dimensions, put together again from singular values
+    and vectors: right only if the vectors are the singular ones."""
+    _, model = _whole_svd(spark, sf_dir)
+    squares = F.array(*[F.lit(float(v * v)) for v in model.singular_values])
+    entries = model.components.select("term_idx", F.posexplode("components").alias("component", "value"))
+    left = entries.select(F.col("term_idx").alias("i"), "component", (F.col("value") * F.get(squares, "component")).alias("scaled"))
+    right = entries.select(F.col("term_idx").alias("j"), "component", "value")
+    return (
+        left.join(right, "component").groupBy("i", "j")
+        .agg(F.sum(F.col("scaled") * F.col("value")).alias("value"))
+        .select("i", "j", (F.round("value", 4) + 0.0).alias("value"))
+    )
+
+
+def svd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of powers of the singular values, as shares of the largest such sum that the
+    rows' lengths allow."""
+    _, model = _whole_svd(spark, sf_dir)
+    squares = model.singular_values**2
+    sums = [(p, float((squares ** p).sum() / squares.sum() ** p)) for p in (2, 3)]
+    return spark.createDataFrame(sums, "power int, share double").withColumn("share", F.round("share", 8))
+
+
 def svd_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, weights = fit_transform(docs)
@@ -745,6 +775,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans_clusters": kmeans_clusters,
     "kmeans_nearest": kmeans_nearest,
     "svd_lengths": svd_lengths,
+    "svd_gram": svd_gram,
+    "svd_values": svd_values,
     "svd_project": svd_project,
     "projection_2d": projection_points,
     "cluster_report": full_cluster_report,
