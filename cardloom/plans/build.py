@@ -23,7 +23,6 @@ from cardloom.operators.reduction import (
     fit_svd,
     ml_vectors,
     normalize_scores,
-    project_rows,
     save_svd,
 )
 from cardloom.operators.text_tables import enriched_cards, oracle_tokens, type_features
@@ -70,7 +69,7 @@ def build_clusters(spark: SparkSession, out: str, config: BuildConfig = BuildCon
     rows = stored(all_rows(ids, weights), "rows")
     svd = fit_svd(ml_vectors(rows, model.n_terms), config.clusters.n_components)
     save_svd(svd, spark, f"{out}/models/svd")
-    write_table(project_rows(rows, svd), f"{out}/vectors/scores")
+    write_table(svd.scores, f"{out}/vectors/scores")
     scores = read_table(spark, f"{out}/vectors/scores")
     features = unit_vectors(scores)
     kmeans, _ = fit_kmeans(features, config.clusters)

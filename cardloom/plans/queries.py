@@ -666,15 +666,14 @@ def svd_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, weights = fit_transform(docs)
     rows = stored(all_rows(docs, weights), "rows")
-    svd = fit_svd(ml_vectors(rows, model.n_terms), 8)
-    return project_rows(rows, svd)
+    return fit_svd(ml_vectors(rows, model.n_terms), 8).scores
 
 
 def projection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, weights = fit_transform(docs)
     rows = stored(all_rows(docs, weights), "rows")
-    scores = project_rows(rows, fit_svd(ml_vectors(rows, model.n_terms), 2))
+    scores = fit_svd(ml_vectors(rows, model.n_terms), 2).scores
     clusters = docs.select("id", (F.xxhash64("source") % 5).cast("int").alias("cluster"))
     return projection_2d(scores, clusters)
 
