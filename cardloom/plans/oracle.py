@@ -339,6 +339,14 @@ ORACLE_SQL: dict[str, str] = {
                '2026-01-02T03:04:' || (10 + max(n_chars) % 50) AS updated_at,
                source || '_20260102T0304' || (10 + max(n_chars) % 50) || '.json' AS saved_as
         FROM documents WHERE source = 'src7' GROUP BY source""",
+    "ingest_versions": _with(CARDS)
+    + """SELECT updated_at, 'cards_' || replace(updated_at, '-', '') || '.json' AS saved_as,
+         count(*) AS cards, count(DISTINCT name) AS names
+         FROM cards JOIN (VALUES ('2026-01-02', 3), ('2026-01-05', 0)) AS v(updated_at, skip)
+         ON skip = 0 OR substr(id, 2)::BIGINT % 3 <> 0 GROUP BY updated_at""",
+    "missing_by_source": """
+        SELECT 'source=' || coalesce(source, 'none') AS output FROM documents
+        GROUP BY 1 HAVING coalesce(max(n_chars), 0) <= 8000""",
     "validate_outputs": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count, {ok} AS has_columns, {ok} AS is_valid "
         f"FROM part {where}"

@@ -132,6 +132,39 @@ def manifest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.bulk_info(spark, path, "src7")
 
 
+def ingest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the card dump landed and ingested, each twice; what the manifest says
+    of them and how many cards they hold."""
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "versions")
+    cards = demo_cards(spark, sf_dir).withColumn("_number", F.expr("bigint(substr(id, 2))"))
+    counted = None
+    for updated, landed in (("2026-01-02", cards.filter("_number % 3 <> 0")), ("2026-01-05", cards)):
+        lines = landed.groupBy(F.expr("_number div 500")).agg(
+            F.collect_list(F.struct(*[c for c in cards.columns if c != "_number"])).alias("cards")
+        )
+        lines.select(F.to_json("cards")).write.text(f"{landing}/cards_{updated.replace('-', '')}.json")
+        catalogue = f"{landing}/catalogue-{updated}"
+        entry = F.struct(F.lit("cards").alias("type"), F.lit(updated).alias("updated_at"))
+        spark.range(1).select(F.array(entry).alias("data")).write.json(catalogue)
+        for _ in range(2):
+            target = ingest.ingest_bulk(spark, catalogue, "cards", landing, out, force=False, whole_file=False)
+        version = tables.read_table(spark, target).agg(
+            F.count(F.lit(1)).alias("cards"), F.countDistinct("name").alias("names")
+        ).withColumn("updated_at", F.lit(updated))
+        counted = version if counted is None else counted.unionByName(version)
+    return ingest.manifest(spark, out).join(counted, "updated_at").select("updated_at", "saved_as", "cards", "names")
+
+
+def missing_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One output a source, of its long documents: the sources that leave none."""
+    root = scratch_path(spark, "by-source")
+    docs = documents(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit("none")))
+    docs.filter("n_chars > 8000").write.partitionBy("source").parquet(root)
+    # One name a source, a small dimension of the corpus.
+    expected = [f"source={r.source}" for r in docs.select("source").distinct().collect()]
+    return ingest.missing_outputs(spark, root, expected)
+
+
 def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.file_checksums(spark, sf_dir, "*.parquet")
 
@@ -710,6 +743,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_scan": json_scan,
     "parquet_round_trip": parquet_round_trip,
     "manifest_lookup": manifest_lookup,
+    "ingest_versions": ingest_versions,
+    "missing_by_source": missing_by_source,
     "file_checksums": file_checksums,
     "written_file_checksums": written_file_checksums,
     "validate_outputs": validate_outputs,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ from cardloom.sources.tables import path_exists, read_cards, require_path
 CATALOGUE_SCHEMA = (
     "data array<struct<type:string,name:string,download_uri:string,updated_at:string>>"
 )
+MANIFEST_SCHEMA = (
+    "bulk_type string, name string, download_uri string, updated_at string, saved_as string, commit string"
+)
 
 # The tables and artifacts a full build leaves behind.
 EXPECTED_OUTPUTS = (
@@ -67,23 +71,55 @@ def ingest_bulk(
     landing: str,
     out: str,
     force: bool = True,
+    whole_file: bool = True,
 ) -> str:
     """Turn the landed file of the catalogue's current version into a core table.
 
     Returns the version's path. An existing version is kept unless ``force`` is set;
     a written version gets one row in the manifest beside the data.
+
+    A version is written aside, with the row that the manifest shall have, and moved into
+    place whole. The manifest row is added from there, once per commit: a run that died
+    between the two is completed by the next one, and replays add nothing. What died while
+    writing is never seen as a version; a version that was being replaced is written anew.
     """
     info = bulk_info(spark, catalogue, bulk_type)
     saved_as = info.first()["saved_as"]
     target = f"{out}/{saved_as.removesuffix('.json')}"
-    if path_exists(spark, f"{target}/_SUCCESS") and not force:
-        return target
-    cards = read_cards(spark, f"{landing}/{saved_as}")
-    cards.write.mode("overwrite").parquet(target)
-    info.write.mode("append").json(f"{out}/manifest")
+    if force or not path_exists(spark, f"{target}/_SUCCESS"):
+        _write_version(spark, read_cards(spark, f"{landing}/{saved_as}", whole_file), info, out, target)
+    _enter_in_manifest(spark, out, target)
     return target
 
 
+def _write_version(spark: SparkSession, cards: DataFrame, info: DataFrame, out: str, target: str) -> None:
+    commit = uuid.uuid4().hex
+    staged = f"{out}/_staging/{commit}"
+    cards.write.parquet(staged)
+    # Readers of the table skip names that begin with an underscore.
+    info.withColumn("commit", F.lit(commit)).write.json(f"{staged}/_commit")
+    move = spark._jvm.org.apache.hadoop.fs.Path
+    fs = move(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(move(target), True)
+    if not fs.rename(move(staged), move(target)):
+        raise OSError(f"could not move {staged} to {target}")
+
+
+def _enter_in_manifest(spark: SparkSession, out: str, target: str) -> None:
+    if not path_exists(spark, f"{target}/_commit"):
+        return  # written before versions carried their row
+    row = spark.read.schema(MANIFEST_SCHEMA).json(f"{target}/_commit")
+    if path_exists(spark, f"{out}/manifest"):
+        row = row.join(manifest(spark, out).select("commit"), "commit", "left_anti")
+    if not row.isEmpty():
+        row.write.mode("append").json(f"{out}/manifest")
+
+
+def manifest(spark: SparkSession, out: str) -> DataFrame:
+    """The versions below ``out``, one row for each commit."""
+    return spark.read.schema(MANIFEST_SCHEMA).json(require_path(spark, f"{out}/manifest"))
+
+
 def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SHA-256 and size per file, one file per row."""
     files = (

@@ -76,6 +76,36 @@ def test_ingest(spark, tmp_path):
     assert len(manifest) == 2 and manifest[0].saved_as == info.saved_as
 
 
+def test_ingest_survives_a_crash_at_every_step(spark, tmp_path, monkeypatch):
+    entry = {"type": "cards", "download_uri": "u1", "updated_at": "2024"}
+    catalogue = write_json(tmp_path / "catalogue.json", {"data": [entry]})
+    write_json(tmp_path / "cards_2024.json", CARDS)
+    out = str(tmp_path / "out")
+    run = lambda **k: ingest.ingest_bulk(spark, catalogue, "cards", str(tmp_path), out, **k)
+    rows = lambda: [r.saved_as for r in ingest.manifest(spark, out).collect()]
+
+    def crash(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:  # data in place, no manifest row
+        m.setattr(ingest, "_enter_in_manifest", crash)
+        with pytest.raises(OSError):
+            run()
+    with pytest.raises(project.MissingInput):
+        rows()
+    target = run(force=False)
+    assert rows() == ["cards_2024.json"] and tables.read_table(spark, target).count() == 2
+    run(force=False)
+    assert rows() == ["cards_2024.json"]
+    with monkeypatch.context() as m:  # while writing: the version stays as it is
+        m.setattr(ingest, "bulk_info", lambda *_: spark.createDataFrame([("cards_2024.json",)], "saved_as string").withColumn("x", F.raise_error(F.lit("lost"))))
+        with pytest.raises(Exception, match="lost"):
+            run()
+    assert tables.read_table(spark, target).count() == 2 and len(rows()) == 1
+    run()
+    assert rows() == ["cards_2024.json"] * 2
+
+
 def test_checksums(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
     (tmp_path / "b.bin").write_bytes(b"")
