@@ -13,6 +13,9 @@ from .common import chunks, gram_hashes, in_one_text, mixed, released, word_hash
 
 # Notices as they are published, by SPDX identifier.
 TEMPLATES = {
+    "AGPL-3.0/notice": "This program is free software: you can redistribute it and/or modify it under the terms of the "
+    "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+    "(at your option) any later version",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
     "except in compliance with the License. You may obtain a copy of the License at",
@@ -22,10 +25,19 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-2.0/notice": "This program is free software; you can redistribute it and/or modify it under the terms of the "
+    "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or "
+    "(at your option) any later version",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0/notice": "This program is free software: you can redistribute it and/or modify it under the terms of the "
     "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or "
     "(at your option) any later version",
+    "LGPL-2.1/notice": "This library is free software; you can redistribute it and/or modify it under the terms of the "
+    "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+    "(at your option) any later version",
+    "LGPL-3.0/notice": "This library is free software: you can redistribute it and/or modify it under the terms of the "
+    "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+    "(at your option) any later version",
     "MIT": "Released under the MIT License",
     "MIT/notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
     "associated documentation files (the \"Software\"), to deal in the Software without restriction",
@@ -82,9 +94,10 @@ def _matches(bands: Bands, grams: np.ndarray, known: np.ndarray, n: int, shingle
     """(template, start, end) in words, for one text with shingles ``grams`` and ``n`` words.
 
     Windows are as long as a template and start at every quarter of it; only those with a
-    shingle of some template can collide, others are not hashed.
+    shingle of some template can collide, others are not hashed. Templates that are alike
+    compete for a stretch: the one that it holds the larger share of is reported.
     """
-    found: dict[int, list[list[int]]] = {}
+    hits: dict[tuple[int, int, int], float] = {}
     at = np.flatnonzero(known)
     for length, index in bands.classes.items():
         step, size = max(1, (length - shingle) // 4), length - shingle + 1
@@ -98,16 +111,33 @@ def _matches(bands: Bands, grams: np.ndarray, known: np.ndarray, n: int, shingle
                 # Verify around the window, so that its place does not matter.
                 a, b = max(0, start - step), start + size + step
                 near = np.flatnonzero(np.isin(grams[a:b], bands.sets[k])) + a
-                if len(np.unique(grams[near])) >= contained * len(bands.sets[k]):
-                    spans = found.setdefault(k, [])
-                    here = [int(near[0]), int(near[-1]) + shingle]
-                    if spans and here[0] < spans[-1][1]:
-                        spans[-1] = [min(spans[-1][0], here[0]), max(spans[-1][1], here[1])]
-                    else:
-                        spans.append(here)
+                share = len(np.unique(grams[near])) / len(bands.sets[k])
+                if share >= contained:
+                    hits[int(near[0]), int(near[-1]) + shingle, k] = share
+    found: dict[int, list[list[int]]] = {}
+    for start, end, k in _best(hits):
+        spans = found.setdefault(k, [])
+        if spans and start < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([start, end])
     return sorted((start, bands.names[k], end) for k, spans in found.items() for start, end in spans)
 
 
+def _best(hits: dict[tuple[int, int, int], float]) -> list[tuple[int, int, int]]:
+    """The (start, end, template) that no other, with a larger share of its template, covers
+    half of (or is half covered by), in order."""
+    order, beaten = sorted(hits), set()
+    for i, one in enumerate(order):
+        for other in order[i + 1 :]:
+            shared = min(one[1], other[1]) - other[0]
+            if shared <= 0:
+                break
+            if one[2] != other[2] and 2 * shared >= min(one[1] - one[0], other[1] - other[0]) and hits[one] != hits[other]:
+                beaten.add(min(one, other, key=hits.get))
+    return [x for x in order if x not in beaten]
+
+
 def _scan(templates: dict[str, str], shingle: int, contained: float):
     def scan(batches):
         bands = Bands(templates, shingle, contained)
@@ -137,9 +167,10 @@ def find_licenses(
     """(doc_id, licenses, spans) for every row of ``docs`` (doc_id, text, ...).
 
     A template is found where a stretch of the text about as long holds ``contained`` of
-    its shingles of ``shingle`` words (lower-cased letters and digits). ``spans`` lists
+    its shingles of ``shingle`` words (lower-cased letters and digits), and no template that
+    half overlaps it has a larger share of its shingles there. ``spans`` lists
     template:first word:end by place. Templates with fewer words than a shingle are never
-    found. A null text has no words; repeated rows are scanned each; other columns are
+    found. A null text has no words; very long texts are scanned whole; repeated rows are scanned each; other columns are
     ignored. The templates are a parameter and travel with the task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

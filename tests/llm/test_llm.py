@@ -268,6 +268,18 @@ def test_license_scan(spark):
     assert got[1].spans == "MIT:90:95" and "MIT/notice" in got[6].spans
 
 
+def test_license_scan_tells_versions_apart(spark):
+    """Templates that differ in a word or two: each text gets its own name only."""
+    filler = "some other words that stand around it " * 9
+    own = {name: text for name, text in licenses.TEMPLATES.items()}
+    rows = [(k, filler + text + " " + filler) for k, text in enumerate(own.values())]
+    both = f"{filler} {own['GPL-2.0/notice']} {filler} {own['AGPL-3.0/notice']} {own['GPL-3.0']} {filler}"
+    got = {r.doc_id: r.licenses for r in licenses.find_licenses(
+        spark.createDataFrame([*rows, (99, both)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(own))] == [[name.split("/")[0]] for name in own]
+    assert got[99] == ["AGPL-3.0", "GPL-2.0", "GPL-3.0"]
+
+
 def test_license_scan_finds_all_lines(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     pattern = "Licensed under the Apache License|Released under the MIT License|GNU General Public License, version 3|Licensed under CC BY-NC"
