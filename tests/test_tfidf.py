@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from cardloom.operators import tfidf
 from cardloom.operators.tfidf import (
     TfidfConfig,
     all_rows,
@@ -101,3 +102,29 @@ def test_rows_without_terms_stay(spark, docs):
 def test_nothing_left(spark, docs):
     with pytest.raises(ValueError, match="no terms"):
         fit_tfidf(docs, TfidfConfig(min_df=50))
+
+
+def test_many_chunks_repeated_and_null_ids(spark, monkeypatch):
+    """Chunks weigh their own documents; rows of one id, null too, are one document, and
+    no gram spans two of its texts."""
+    monkeypatch.setattr(tfidf, "CHUNK_BYTES", 8)
+    rows = [("a", "red fox"), ("a", "dog red"), (None, "red dog"), (None, None), ("b", "fox red fox red"), ("c", "")]
+    docs = spark.createDataFrame(rows, "id string, text string").repartition(5)
+    _, weights = fit_transform(docs, TfidfConfig(min_df=1, max_df=1.0))
+    got = {}
+    for r in weights.collect():
+        got.setdefault(r.id, {})[r.term] = r.weight
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "a": ["dog", "dog red", "fox", "red", "red fox"], None: ["dog", "red", "red dog"], "b": ["fox", "fox red", "red", "red fox"],
+    }
+    idf = {t: math.log(7 / (1 + n)) + 1 for t, n in {"red": 4, "dog": 2, "red dog": 1}.items()}
+    norm = math.sqrt(sum(v * v for v in idf.values()))
+    assert got[None] == pytest.approx({t: v / norm for t, v in idf.items()})
+    packed = {r.id: r for r in tfidf.sparse_rows(weights.repartition(7)).collect()}
+    assert all(r.indices == sorted(r.indices) and len(r.indices) == len(got[k]) for k, r in packed.items())
+
+
+def test_postings_are_neither_exploded_nor_sorted(spark, docs):
+    model = fit_tfidf(docs, TfidfConfig(min_df=2))
+    plan = tfidf_weights(docs, model)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "Window" not in plan
