@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from cardloom.operators.project import optional_column, require_columns
 from cardloom.session import BROADCAST_LIMIT, stored
 
+# Rows of a task of a join whose sides are dealt beforehand.
+JOIN_ROWS = 100_000
+
+
+def dealt(*sides: DataFrame, key: str = "id", rows: int = JOIN_ROWS) -> list[DataFrame]:
+    """The sides of joins on one key, each dealt by it into as many partitions, of about
+    ``rows`` rows of the first side. Adaptive execution merges partitions by their
+    compressed size, which says little of what rows that repeat each other take to sort."""
+    parts = max(1, -(-sides[0].count() // rows))
+    return [side.repartition(parts, key) for side in sides]
+
 
 def left_join(
     left: DataFrame, right: DataFrame, columns: Sequence[str], key: str = "id"

@@ -283,13 +283,15 @@ def word_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards joined to type arrays, tokens and clusters by id."""
-    cards = with_normal_text(demo_cards(spark, sf_dir))
-    typed = joins.left_join(
-        cards, type_features(demo_cards(spark, sf_dir)), ["basic_types", "super_types", "sub_types"]
+    cards, typed, tokens, clusters = joins.dealt(
+        with_normal_text(demo_cards(spark, sf_dir)),
+        type_features(demo_cards(spark, sf_dir)),
+        oracle_tokens(demo_cards(spark, sf_dir)),
+        demo_clusters(spark, sf_dir),
     )
-    tokens = oracle_tokens(demo_cards(spark, sf_dir))
-    full = joins.left_join(typed, tokens, ["oracle_tokens"])
-    full = joins.join_clusters(full, demo_clusters(spark, sf_dir))
+    full = joins.left_join(cards, typed, ["basic_types", "super_types", "sub_types"])
+    full = joins.left_join(full, tokens, ["oracle_tokens"])
+    full = joins.join_clusters(full, clusters)
     return full.select(
         "id", "oracle_text_norm", _joined("basic_types"), _joined("super_types"),
         _joined("sub_types"), F.size("oracle_tokens").alias("n_tokens"), "cluster",
