@@ -229,3 +229,12 @@ def test_samples(spark):
     assert drawn == by_hash[:40]
     assert ranking.capped_sample(frame, 6000, 1).count() == 5000
     assert ranking.capped_sample(frame, 70, 1).count() == 70
+
+
+def test_sides_of_joins_lie_in_partitions_of_bounded_rows(spark):
+    cards = spark.range(100).select(F.concat(F.lit("c"), F.col("id")).alias("id"))
+    numbered = spark.range(90, 110).select(F.concat(F.lit("c"), F.col("id")).alias("id"), F.col("id").alias("n"))
+    left, right = joins.dealt(cards, numbered, rows=30)
+    assert left.rdd.getNumPartitions() == right.rdd.getNumPartitions() == 4
+    joined = joins.left_join(left, right, ["n"]).collect()
+    assert len(joined) == 100 and {r.id: r.n for r in joined if r.n is not None} == {f"c{i}": i for i in range(90, 100)}
