@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters whose counts bound the edit distance from below; any letters would be right.
-COUNTED = "etanirs"
 # Lines in question that are broadcast to find their texts (about 50 bytes each); more of
 # them are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-OWN_PLACE = -(1 << 63)  # marks a segment that stands at its own place
+OWN_PLACE = -(1 << 7)  # marks a segment that stands at its own place
 
 
 def _lines(docs: DataFrame, min_chars: int, *more: str) -> DataFrame:
@@ -52,26 +50,22 @@ def _keys(base: Column, edits: int) -> list[tuple[bool, Column]]:
     return keys
 
 
-def _letter_counts() -> Column:
-    """The counts of seven letters, modulo 256, and the length, modulo 128, in a long."""
-    packed = F.shiftleft((F.col("n") % 128).cast("long"), 56)
-    for k, letter in enumerate(COUNTED):
-        count = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(letter), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft((count % 256).cast("long"), 8 * k))
-    return packed
+def _alike_in_length(left: Column, right: Column, edits: int) -> Column:
+    """Whether lengths, given modulo 128, are within ``edits``; one segment at least is at its own place."""
+    gap = F.abs(left.bitwiseAND(F.lit(127)) - right.bitwiseAND(F.lit(127)))
+    return (F.least(left, right) < 0) & (F.least(gap, F.lit(128) - gap) <= edits)
 
 
-def _gap(left: Column, right: Column, place: int, size: int) -> Column:
-    a, b = (F.shiftrightunsigned(x, place).bitwiseAND(F.lit(size - 1)) for x in (left, right))
-    gap = F.abs(a - b)
-    return F.least(gap, F.lit(size) - gap)
+def _sketch(text: str) -> Column:
+    """64 bits: which hashes of two neighbouring characters occur an odd number of times.
 
-
-def _may_be_near(left: Column, right: Column, edits: int) -> Column:
-    total = F.lit(0).cast("long")
-    for k in range(len(COUNTED)):
-        total = total + _gap(left, right, 8 * k, 256)
-    return (_gap(left, right, 56, 128) <= edits) & (total <= 2 * edits)
+    An edit breaks and makes four such pairs at most, so the sketches of lines within some
+    edits differ by four bits an edit at most.
+    """
+    return F.expr(f"""
+      aggregate(split({text}, ''), named_struct('last', '', 'bits', 0L),
+        (s, c) -> named_struct('last', c, 'bits', s.bits ^ shiftleft(1L, cast(xxhash64(s.last, c) & 63 as int))),
+        s -> s.bits)""")
 
 
 def edit_distance_within(left: str, right: str, edits: int) -> str:
@@ -137,29 +131,22 @@ def removals(docs: DataFrame, min_chars: int = 20, edits: int = 2) -> DataFrame:
     keyed = (
         _lines(docs, min_chars, "norm")
         .withColumn("n", F.char_length("norm"))
-        .select("a", "b", _letter_counts().alias("letters"), *[x.alias(name) for name, (_, x) in zip(names, keys)])
+        .select("a", "b", (n % 128).cast("tinyint").alias("seen"), *[x.alias(name) for name, (_, x) in zip(names, keys)])
         .groupBy("a", "b")
-        .agg(*[F.first(name).alias(name) for name in ("letters", *names)])
+        .agg(*[F.first(name).alias(name) for name in ("seen", *names)])
     )
-    letters = {True: F.col("letters").bitwiseOR(F.lit(OWN_PLACE)), False: F.col("letters")}
+    seen_at = {True: F.col("seen").bitwiseOR(F.lit(OWN_PLACE).cast("tinyint")), False: F.col("seen")}
     rows = keyed.select(
-        "a", F.inline(F.array(*[F.struct(F.col(x).alias("key"), letters[at].alias("seen")) for x, (at, _) in zip(names, keys)]))
+        "a", F.inline(F.array(*[F.struct(F.col(x).alias("key"), seen_at[at].alias("seen")) for x, (at, _) in zip(names, keys)]))
     ).filter("key is not null")
-    # Both sides are the same rows, so that they are shuffled once.
-    left, right = rows, rows.select(F.col("key").alias("okey"), F.col("a").alias("oa"), F.col("seen").alias("others"))
-    pairs = (
-        left.join(
-            right,
-            (F.col("key") == F.col("okey")) & (F.col("a") < F.col("oa")) & (F.least("seen", "others") < 0)
-            & _may_be_near(F.col("seen"), F.col("others"), edits),
-        )
-        .select(F.col("a").alias("x"), F.col("oa").alias("y"))
-        .distinct()
-    )
-    pairs = written(pairs, "line-pairs")
+    # Lines in question share a segment with another one of alike length. Both sides are the
+    # same rows, so that they are shuffled once; a row is kept once, however many it meets.
+    others = rows.select(F.col("key").alias("okey"), F.col("a").alias("oa"), F.col("seen").alias("oseen"))
+    met = (F.col("key") == F.col("okey")) & (F.col("a") != F.col("oa")) & _alike_in_length(F.col("seen"), F.col("oseen"), edits)
+    asked = written(rows.join(others, met, "left_semi"), "line-keys")
 
     # The texts of the lines in question, from the documents where they stand first.
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
+    wanted = asked.select("a").distinct()
     places = (
         seen.join(wanted, "a", "left_semi").join(first, ["a", "b"]).filter("at = first").select("id", "h", "pos", "a", "at")
     )
@@ -170,13 +157,16 @@ def removals(docs: DataFrame, min_chars: int = 20, edits: int = 2) -> DataFrame:
         .select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
         .select("p.a", "p.at", F.lower(F.trim(F.get("lines", F.col("p.pos")))).alias("norm"))
         .distinct()
+        .withColumn("bits", _sketch("norm"))
     )
+    # A line goes if any earlier one is near, so no pairs are listed: a row stops at the first.
+    later = asked.join(written(texts, "line-texts"), "a")
+    earlier = later.select(*[F.col(c).alias(f"o{c}") for c in later.columns])
+    before = (F.col("oat") < F.col("at")) | ((F.col("oat") == F.col("at")) & (F.col("a") < F.col("oa")))
+    close = F.bit_count(F.col("bits").bitwiseXOR(F.col("obits"))) <= 4 * edits
     near = (
-        pairs.join(texts.select(F.col("a").alias("x"), F.col("at").alias("ax"), F.col("norm").alias("nx")), "x")
-        .join(texts.select(F.col("a").alias("y"), F.col("at").alias("ay"), F.col("norm").alias("ny")), "y")
-        .filter(F.expr(edit_distance_within("nx", "ny", edits)))
-        .select(F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x")).alias("a"),
-                F.greatest("ax", "ay").alias("at"))
+        later.join(earlier, met & before & close & F.expr(edit_distance_within("norm", "onorm", edits)), "left_semi")
+        .select("a", "at")
         .distinct()
     )
     copies = seen.join(first, ["a", "b"]).filter("at > first").select("id", "h", "pos")

@@ -366,3 +366,34 @@ def test_sha_of_kept_lines(spark):
     row = queries.op2_line_dedup(spark, SF_DIR).filter("n_removed = 0").first()
     text = spark.read.parquet(f"{SF_DIR}/documents.parquet").filter(F.col("doc_id") == row.doc_id).first().text
     assert row.kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_lines_of_one_template_make_no_pairs(spark):
+    from cardloom.llm import common
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etanirsdlu") for _ in range(5)) for _ in range(60)]
+
+    def variant(k):
+        line = list(words)
+        for _ in range(3):
+            line[rng.randrange(60)] = f"{k:05d}"
+        return " ".join(line)
+
+    lines = [variant(k) for k in range(300)]
+    # Near lines all alike, and two of the others' near copies, before and after them.
+    lines += [" ".join(words[:40]) + f" {k % 10}{k // 10}" for k in range(100)] + [lines[7][1:], "x" + lines[250] + "y"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    tables = []
+
+    def kept(df, name):
+        tables.append((name, df.count()))
+        return df.localCheckpoint()
+
+    written, common.written = common.written, kept
+    try:
+        got = {r.row.doc_id for r in line_dedup.dedup_lines(docs).filter("n_removed > 0").collect()}
+    finally:
+        common.written = written
+    assert got == {*range(301, 400), 400, 401}
+    assert all(n <= 10 * len(lines) for _, n in tables)  # ten keys a line at most, not a row a pair
