@@ -12,6 +12,8 @@ from cardloom.session import BROADCAST_LIMIT, stored
 
 # Rows of a task of a join whose sides are dealt beforehand.
 JOIN_ROWS = 100_000
+# Rows of a file of a table whose rows are costly to work on.
+FILE_ROWS = 25_000
 
 
 def dealt(*sides: DataFrame, key: str = "id", rows: int = JOIN_ROWS) -> list[DataFrame]:
@@ -22,6 +24,14 @@ def dealt(*sides: DataFrame, key: str = "id", rows: int = JOIN_ROWS) -> list[Dat
     return [side.repartition(parts, key) for side in sides]
 
 
+def evened(df: DataFrame, rows: int = FILE_ROWS) -> DataFrame:
+    """The rows in partitions of about ``rows`` rows, whatever their keys are. Scans are split
+    by compressed bytes, so a table of short texts that repeat each other is read, and all that
+    is made of it is worked out, by few tasks; files of few rows are shared among all of them."""
+    parts = -(-df.count() // rows)
+    return df.repartition(parts) if parts > 1 else df
+
+
 def left_join(
     left: DataFrame, right: DataFrame, columns: Sequence[str], key: str = "id"
 ) -> DataFrame:

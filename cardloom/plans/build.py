@@ -16,6 +16,7 @@ from cardloom.operators.clustering import (
     save_kmeans,
     unit_vectors,
 )
+from cardloom.operators.joins import evened
 from cardloom.operators.labelling import card_labels
 from cardloom.operators.neighbors import nearest_to_one, show_neighbors
 from cardloom.operators.project import core_projection, first_match, require_columns
@@ -50,7 +51,7 @@ class BuildConfig:
 
 def build_text_tables(core: DataFrame, out: str, config: BuildConfig = BuildConfig()) -> None:
     core = core_projection(require_columns(core, ["id", "name", "type_line", "oracle_text"]))
-    write_table(core, f"{out}/cards_core")
+    write_table(evened(core), f"{out}/cards_core")
     core = read_table(core.sparkSession, f"{out}/cards_core")
     write_table(type_features(core), f"{out}/type_features")
     write_table(oracle_tokens(core, config.normalize), f"{out}/oracle_tokens")

@@ -28,6 +28,8 @@ CARD_SCHEMA = T.StructType(
 # Folders of stored postings: their usual size, and how many there may be.
 PART_ROWS = 1_000_000
 MOST_PARTS = 4096
+# Tasks that write the rows of a usual folder; more share a larger one.
+TASKS_A_PART = 2
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -73,17 +75,18 @@ def save_postings(weights: DataFrame, path: str, part_rows: int = PART_ROWS) ->
     """``weights`` (a stored table) again, dealt into folders by term.
 
     Folders hold about ``part_rows`` rows each, or are at most ``MOST_PARTS``; a query
-    reads those of its own terms. Larger folders are written by several tasks, split by id,
-    so that a frequent term is not one task's work.
+    reads those of its own terms. Folders of many rows, as those of frequent terms are, are
+    written by several tasks, split by id in proportion to their rows.
     """
-    n = weights.count()
-    parts = min(MOST_PARTS, max(1, n // part_rows))
-    split = max(1, n // (parts * part_rows))
-    dealt = weights.select(
-        "id", "term_idx", "weight", F.lit(parts).alias("parts"), F.pmod("term_idx", F.lit(parts)).alias("part")
-    )
-    if parts * split > 1:
-        dealt = dealt.repartition(parts * split, "part", F.pmod(F.xxhash64("id"), F.lit(split)))
+    parts = min(MOST_PARTS, max(1, weights.count() // part_rows))
+    part = F.pmod("term_idx", F.lit(parts)).cast("int").alias("part")
+    # MOST_PARTS rows at most.
+    sizes = {r["part"]: r["count"] for r in weights.groupBy(part).count().collect()}
+    splits = [max(1, -(-sizes.get(p, 0) * TASKS_A_PART // part_rows)) for p in range(parts)]
+    dealt = weights.select("id", "term_idx", "weight", F.lit(parts).alias("parts"), part)
+    if sum(splits) > 1:
+        split = F.pmod(F.xxhash64("id"), F.lit(splits)[F.col("part")])
+        dealt = dealt.repartition(sum(splits), "part", split)
     dealt.sortWithinPartitions("part", "term_idx").write.mode("overwrite").partitionBy("parts", "part").parquet(path)
 
 

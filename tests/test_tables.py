@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cardloom.operators import joins, project, ranking, stats
 from cardloom.operators.text_tables import enriched_cards, oracle_tokens, type_features
 from cardloom.operators.tfidf import TfidfConfig, fit_transform
+from cardloom.plans.build import build_text_tables
 from cardloom.sources import ingest, tables
 
 CARDS = [
@@ -238,3 +239,25 @@ def test_sides_of_joins_lie_in_partitions_of_bounded_rows(spark):
     assert left.rdd.getNumPartitions() == right.rdd.getNumPartitions() == 4
     joined = joins.left_join(left, right, ["n"]).collect()
     assert len(joined) == 100 and {r.id: r.n for r in joined if r.n is not None} == {f"c{i}": i for i in range(90, 100)}
+
+
+def test_card_tables_lie_in_files_of_few_rows(spark, tmp_path):
+    """One file in, several tasks' worth of files out, also where all rows have one key."""
+    core = spark.range(60_000, numPartitions=1).select(
+        F.lit("c").alias("id"), F.lit("n").alias("name"), F.lit("Creature").alias("type_line"), F.lit("Fly.").alias("oracle_text")
+    )
+    build_text_tables(core, str(tmp_path))
+    stored = tables.read_table(spark, f"{tmp_path}/cards_core")
+    sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 60_000 and len(sizes) == 3 and max(sizes) <= 25_000
+    assert tables.read_table(spark, f"{tmp_path}/cards_enriched").count() == 60_000
+
+
+def test_a_frequent_term_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(400).select("id", F.when(F.col("id") < 300, 0).otherwise(F.col("id") - 299).cast("int").alias("term_idx"))
+    rows.withColumn("weight", F.lit(0.5)).write.parquet(f"{tmp_path}/weights")
+    tables.save_postings(tables.read_table(spark, f"{tmp_path}/weights"), f"{tmp_path}/postings", 100)
+    stored = tables.read_table(spark, f"{tmp_path}/postings")
+    assert stored.count() == 400 and stored.select("parts").distinct().collect()[0].parts == 4
+    files = stored.filter("term_idx = 0").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 3 and max(f["count"] for f in files) < 150
