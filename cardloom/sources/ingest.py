@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.operators.project import MissingInput
+from cardloom.sources import checksums
 from cardloom.sources.tables import path_exists, read_cards, require_path
 
 CATALOGUE_SCHEMA = (
@@ -18,6 +20,9 @@ MANIFEST_SCHEMA = (
     "bulk_type string, name string, download_uri string, updated_at string, saved_as string, commit string"
 )
 
+# Files up to this size are hashed as one row, longer ones split by split.
+WHOLE_BYTES = 64 * 1024 * 1024
+
 # The tables and artifacts a full build leaves behind.
 EXPECTED_OUTPUTS = (
     "cards_core",
@@ -120,25 +125,35 @@ def manifest(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(require_path(spark, f"{out}/manifest"))
 
 
-def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size per file, one file per row."""
+def file_checksums(
+    spark: SparkSession, path: str, pattern: str = "*", whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
+    """SHA-256 and size per file, one file per row.
+
+    Files of up to ``whole_bytes`` are rows of ``binaryFile``. Longer ones are read split by split
+    (``checksums.chained_sha256``) when this is called; without OpenSSL, or with a name by which line
+    readers unpack a file, they are rows too, and limited to 2 GB.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .load(require_path(spark, path))
     )
-    hashed = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("file_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    hashed = [name, F.col("length").alias("file_bytes"), F.sha2("content", 256).alias("sha256")]
+    # Names and lengths come from the listing; filters on length keep contents from being read.
+    long = files.filter(F.col("length") > whole_bytes).select("path", "length", name).collect()
+    split = [f for f in long if checksums.openssl() and not checksums.is_compressed(spark, f.path)]
+    out = files.filter(F.col("length") <= whole_bytes).select(*hashed)
+    if len(split) < len(long):
+        whole = [checksums.literal_path(f.path) for f in long if f not in split]
+        out = out.unionByName(spark.read.format("binaryFile").load(whole).select(*hashed))
+    digests = checksums.chained_sha256(spark, [(f.path, f.length) for f in split]) if split else []
     # A scan plans no split for an empty file, so those come from the listing.
-    empty = spark.createDataFrame(
-        [(name,) for name in _empty_files(spark, path, pattern)], "file_name string"
-    ).select(
-        "file_name", F.lit(0).cast("long").alias("file_bytes"), F.sha2(F.lit(""), 256).alias("sha256")
-    )
-    return hashed.unionByName(empty)
+    listed = [(f.file_name, f.length, digest) for f, digest in zip(split, digests, strict=True)] + [
+        (empty, 0, hashlib.sha256(b"").hexdigest()) for empty in _empty_files(spark, path, pattern)
+    ]
+    return out.unionByName(spark.createDataFrame(listed, "file_name string, file_bytes long, sha256 string"))
 
 
 def _empty_files(spark: SparkSession, path: str, pattern: str) -> list[str]:

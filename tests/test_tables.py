@@ -1,7 +1,9 @@
 """Sources, guards, joins, counts, ranking and samples."""
 
+import gzip
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +119,56 @@ def test_checksums(spark, tmp_path):
     }
 
 
+def test_checksums_split_by_split(spark, tmp_path):
+    rng = random.Random(3)
+    noise = rng.randbytes(9_500)
+    mark = b"\xef\xbb\xbf"
+    contents = {
+        "noise.bin": noise, "ends.bin": noise + b"\n", "mark.bin": mark + noise, "marks.bin": mark * 2 + b"\r\n" + noise,
+        "breaks.bin": b"\n" * 7_000, "no break.bin": b"\x00" * 7_000, "lines.bin": b"\r\n\n\xff" * 1_800,
+        "a[1]{b}%20.bin": noise[::-1], "_hidden.bin": noise, "packed.gz": gzip.compress(noise),
+        "one.bin": b"x", "line.bin": b"\n", "mark only.bin": mark, "empty.bin": b"",
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    want = sorted((n, len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items() if n[0] != "_")
+    conf = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for whole_bytes in (0, 7_100):
+            got = ingest.file_checksums(spark, str(tmp_path), whole_bytes=whole_bytes)
+            assert sorted(map(tuple, got.collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_checksum_tasks_read_a_split(spark, tmp_path, monkeypatch):
+    data = random.Random(4).randbytes(400_000)
+    (tmp_path / "long.bin").write_bytes(data)
+    read = []
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    run_job = spark.sparkContext.runJob
+
+    def counted(rdd, function, partitions):
+        got = run_job(rdd, function, partitions)
+        read.append((len(partitions), got[0][2]))
+        return got
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    monkeypatch.setattr(spark.sparkContext, "runJob", counted)
+    try:
+        [row] = ingest.file_checksums(spark, str(tmp_path), whole_bytes=100_000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert row.sha256 == hashlib.sha256(data).hexdigest()
+    steps = [n - m for (_, n), (_, m) in zip(read, [(1, 0), *read[:-1]], strict=True)]
+    assert len(steps) == 8 and max(steps) < 55_000
+
+
 def test_output_checks(spark, tmp_path):
     root = str(tmp_path / "out")
     assert ingest.missing_outputs(spark, root).count() == len(ingest.EXPECTED_OUTPUTS)
