@@ -4,8 +4,13 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from cardloom.functions.words import spaced_words, word_tokens
+from cardloom.operators import grams as gram_counts
 from cardloom.operators import tfidf
 from cardloom.operators.tfidf import (
     TfidfConfig,
@@ -128,3 +133,60 @@ def test_postings_are_neither_exploded_nor_sorted(spark, docs):
     model = fit_tfidf(docs, TfidfConfig(min_df=2))
     plan = tfidf_weights(docs, model)._jdf.queryExecution().executedPlan().toString()
     assert "explode" not in plan and "Window" not in plan
+
+
+ODD = [
+    "The red_1 fox, THE fox", "éa É ß Σας ΣΑΣ İstanbul", "", None, "don't 3.14 x", "\u0663\u0664 \U0001f600a\u0301b", "a", "b",
+    "\x00a\x7fB\u00a0c\u2028d",
+]
+
+
+@pytest.mark.parametrize("lowercase", [True, False])
+def test_texts_cut_by_bytes(spark, lowercase):
+    """Words cut from bytes in a task are those of the regular expression, for broken UTF-8 too."""
+    texts = spark.createDataFrame([(t,) for t in ODD], "t string")
+    texts = texts.unionByName(spark.sql("select cast(x'41FF42C3' as string) as t")).coalesce(1)
+    rows = texts.select(word_tokens(F.col("t"), lowercase).alias("w"), spaced_words(F.col("t"), lowercase).alias("s")).collect()
+    got = gram_counts.cut(pa.array([r.s for r in rows]), lowercase).to_pylist()
+    assert got == [r.w for r in rows]
+    assert gram_counts.cut(pa.array(["x", "a b", "c"]).slice(1), lowercase).to_pylist() == [["a", "b"], ["c"]]
+
+
+def test_blocks_of_a_batch_are_bounded(monkeypatch):
+    """A batch of many texts is counted a few bytes, or words, at a time."""
+    sizes, whole = [], gram_counts._numbered
+    monkeypatch.setattr(gram_counts, "_numbered", lambda values: sizes.append(len(values)) or whole(values))
+    texts = ["red fox red"] * 50 + ["dog " * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    found = pa.Table.from_batches(gram_counts.frequencies(1, 2, True, block_bytes=40)([batch]))
+    assert max(sizes) <= 30 and len(sizes) > 20
+    total = found.group_by("term").aggregate([("df", "sum"), ("corpus_tf", "sum")]).to_pylist()
+    expected = {"red": (50, 100), "fox": (50, 50), "red fox": (50, 50), "fox red": (50, 50), "dog": (1, 30), "dog dog": (1, 29)}
+    assert {r["term"]: (r["df_sum"], r["corpus_tf_sum"]) for r in total} == expected
+    sizes.clear()
+    coding = gram_counts.Coding(3, 1, 2)
+    codes = pa.RecordBatch.from_arrays([pa.array([[0, 1, -1, 0]] * 40)], names=["codes"])
+    found = pa.Table.from_batches(gram_counts.coded_frequencies(coding, block_words=8)([codes]))
+    assert max(sizes) <= 16 and len(sizes) == 20
+    total = found.group_by("gram").aggregate([("df", "sum"), ("corpus_tf", "sum")]).to_pylist()
+    assert {r["gram"]: (r["df_sum"], r["corpus_tf_sum"]) for r in total} == {0: (40, 80), 1: (40, 40), coding.first(2) + 1: (40, 40)}
+
+
+@pytest.mark.parametrize("sizes", [(1, 2), (2, 3), (1, 1)])
+def test_packed_rows_and_numbered_grams(spark, monkeypatch, sizes):
+    """Packed rows are the long ones by document; grams as numbers and as text give the same."""
+    monkeypatch.setattr(tfidf, "CHUNK_BYTES", 20)
+    rows = [(i, t) for i, t in enumerate(ODD + list(DOCS.values()))] + [(0, "red fox fox red"), (None, "the red fox"), (None, "the dog")]
+    docs = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    config = TfidfConfig(min_df=2, ngram_range=sizes)
+    model, weights = fit_transform(docs, config, keep=False)
+    _, packed = fit_transform(docs, config, packed=True)
+    assert packed.count() == weights.select("id").distinct().count()
+    of = lambda df: sorted((r.id or -1, r.term_idx, round(r.weight, 12)) for r in df.collect())
+    assert of(tfidf.long_rows(packed)) == of(weights)
+    row = lambda df: sorted((r.id or -1, r.indices, np.round(r.weights, 12).tolist()) for r in df.collect())
+    assert row(all_rows(docs, packed)) == row(all_rows(docs, weights))
+    monkeypatch.setattr(gram_counts.Coding, "fits", lambda self: False)
+    other, plain = fit_transform(docs, config)
+    assert of(plain) == of(weights) and other.n_terms == model.n_terms
+    assert sorted(other.vocabulary.collect()) == sorted(model.vocabulary.collect())
